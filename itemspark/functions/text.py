@@ -58,6 +58,11 @@ def strand(standard: Column) -> Column:
     return col
 
 
+def let(value: Column, body) -> Column:
+    """Compute ``value`` once and hand it to ``body``, which may use it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def has_any(text: Column, needles: Sequence[str]) -> Column:
     """True when any of the plain needles occurs in ``text``."""
     hit = F.lit(False)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from itemspark.functions import fixed_values as V
 from itemspark.functions.options import letters_in
-from itemspark.functions.text import est_tokens, has_any, norm_text, strip, strip_chars, words
+from itemspark.skew import settle
+from itemspark.functions.text import est_tokens, has_any, let, norm_text, strip, strip_chars, words
 
 Rule = tuple[str, Column]
 _HELPERS = ["_type", "_q", "_ql", "_ans"]
@@ -102,17 +103,19 @@ def answer_not_in_passage() -> Column:
     upper = F.upper(F.coalesce("standard", F.lit("")))
     reading = F.contains(upper, F.lit(".RL.")) | F.contains(upper, F.lit(".RI."))
     applies = reading & has_any(F.col("_ql"), V.TEXT_WORD_CUES) & ~has_any(F.col("_ql"), V.TEXT_WORD_EXCLUDED)
-    passage = passage_text()
 
     def clean(entry: Column) -> Column:
         return strip_chars(F.lower(strip(entry)), "\"'.,;:!? ")
 
     single = F.filter(F.transform("acceptable_answers", clean), lambda e: (e != "") & (F.size(words(e)) <= 1))
-    found = F.forall(
-        single,
-        lambda e: F.exists(_word_forms(e), lambda f: F.contains(passage, F.concat(F.lit(" "), f, F.lit(" ")))),
-    )
-    return F.when(applies & (F.length(passage) > 40), ~found).otherwise(F.lit(False))
+    def lacks_one(text: Column) -> Column:
+        found = F.forall(
+            single,
+            lambda e: F.exists(_word_forms(e), lambda f: F.contains(text, F.concat(F.lit(" "), f, F.lit(" ")))),
+        )
+        return (F.length(text) > 40) & ~found
+
+    return F.when(applies, let(passage_text(), lacks_one)).otherwise(F.lit(False))
 
 
 def passage_missing() -> Column:
@@ -191,7 +194,7 @@ def _reject(extra: Sequence[Rule] = ()) -> Column:
 def validate_schema(df: DataFrame, extra: Sequence[Rule] = (), out: str = "reject_reason") -> DataFrame:
     """First failing rule per item, null for a valid one; ``extra`` rules run last."""
     keep = [*df.columns]
-    return _prepared(df).withColumn(out, _reject(extra)).select(*keep, out)
+    return settle(_prepared(df).withColumn(out, _reject(extra)).select(*keep, out))
 
 
 # ---- quality rules ----------------------------------------------------------
@@ -202,7 +205,10 @@ def _option(letter: Column) -> Column:
 
 def explanation_names_answer(explanation: Column, letter: Column, correct: Column) -> Column:
     """The explanation uses a key word of the right option, or its letter as a letter."""
-    text, a = F.lower(norm_text(explanation)), F.lower(letter)
+    return let(F.lower(norm_text(explanation)), lambda text: _names_answer(text, F.lower(letter), correct))
+
+
+def _names_answer(text: Column, a: Column, correct: Column) -> Column:
     keys = F.transform(F.filter(words(correct), lambda w: F.length(w) > 2), lambda w: F.lower(strip_chars(w, ".,;:!?\"'")))
     by_word = F.exists(F.slice(keys, 1, 5), lambda w: F.contains(text, w))
     by_letter = F.lit(False)
@@ -247,12 +253,20 @@ def _quality() -> Column:
     )
 
 
-def quality_issues(df: DataFrame, extra: Sequence[Rule] = (), out: str = "issues") -> DataFrame:
-    """All issues of an item; a schema rejection is the only issue reported."""
+def quality_issues(
+    df: DataFrame, extra: Sequence[Rule] = (), out: str = "issues", known_reject: str | None = None
+) -> DataFrame:
+    """All issues of an item; a schema rejection is the only issue reported.
+
+    ``known_reject`` names a column that already holds the schema reason.
+    """
     keep = [c for c in df.columns if c != out]
-    checked = _prepared(df.drop(out)).withColumn("_reject", _reject(extra))
-    issues = F.when(F.col("_reject").isNotNull(), F.array("_reject")).otherwise(_quality())
-    return checked.withColumn(out, issues).select(*keep, out)
+    reason = known_reject or "_reject"
+    checked = _prepared(df.drop(out))
+    if known_reject is None:
+        checked = checked.withColumn(reason, _reject(extra))
+    issues = F.when(F.col(reason).isNotNull(), F.array(reason)).otherwise(_quality())
+    return settle(checked.withColumn(out, issues).select(*keep, out))
 
 
 def validation_report(df: DataFrame) -> DataFrame:

@@ -107,6 +107,16 @@ def salted_lookup(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Keep the optimiser from copying the (long) column expressions of ``df`` into later steps.
+
+    Filters are pushed through projections by substitution, which multiplies
+    chained rule columns; they are not pushed through a generator. It emits one
+    row per row and runs inside the same stage.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, out: str | None = None) -> DataFrame:
     """First ``k`` rows per key; map tasks keep k rows per key before the shuffle."""
     name = out or "_rn"
