@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +64,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def built_once(make):
+    """Reuse a long column that depends on column names only; building it takes many driver calls."""
+    held: dict = {}
+
+    def get():
+        gateway = SparkContext._gateway
+        if held.get("gateway") is not gateway:
+            held.update(gateway=gateway, column=make())
+        return held["column"]
+
+    return get
+
+
 def has_any(text: Column, needles: Sequence[str]) -> Column:
     """True when any of the plain needles occurs in ``text``."""
     hit = F.lit(False)

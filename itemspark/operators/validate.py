@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from itemspark.functions import fixed_values as V
 from itemspark.functions.options import letters_in
+from itemspark.functions.text import built_once, est_tokens, has_any, let, norm_text, strip, strip_chars, words
 from itemspark.skew import settle
-from itemspark.functions.text import est_tokens, has_any, let, norm_text, strip, strip_chars, words
 
 Rule = tuple[str, Column]
 _HELPERS = ["_type", "_q", "_ql", "_ans"]
@@ -158,6 +158,11 @@ def answer_beside_blank() -> Column:
 
 
 def _reject(extra: Sequence[Rule] = ()) -> Column:
+    return F.coalesce(_own_rules(), *_coded(extra)) if extra else _own_rules()
+
+
+@built_once
+def _own_rules() -> Column:
     upper = F.upper(F.col("_ans"))
     letters = _msq_letters()
     all_letters = F.forall(letters, lambda x: x.isin(V.OPTION_LETTERS))
@@ -188,7 +193,7 @@ def _reject(extra: Sequence[Rule] = ()) -> Column:
         .when(F.col("_type") == "msq", F.coalesce(_missing(V.CHOICE_FIELDS), *_coded(msq)))
         .otherwise(F.coalesce(_missing(V.CHOICE_FIELDS), *_coded(mcq)))
     )
-    return F.coalesce(F.when(is_placeholder(), "placeholder"), by_type, *_coded(extra))
+    return F.coalesce(F.when(is_placeholder(), "placeholder"), by_type)
 
 
 def validate_schema(df: DataFrame, extra: Sequence[Rule] = (), out: str = "reject_reason") -> DataFrame:
@@ -219,6 +224,7 @@ def _names_answer(text: Column, a: Column, correct: Column) -> Column:
     return by_word | by_letter | spelled | alone
 
 
+@built_once
 def _quality() -> Column:
     ql = F.col("_ql")
     no_image = F.coalesce(F.size("image_url"), F.lit(0)) <= 0
