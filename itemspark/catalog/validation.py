@@ -22,7 +22,7 @@ def _any(col, needles):
 
 
 _CHOICE_MISSING = "concat_ws(',', CASE WHEN question IS NULL THEN 'question' END, CASE WHEN answer IS NULL THEN 'answer' END, CASE WHEN answer_explanation IS NULL THEN 'answer_explanation' END)"
-_FILL_MISSING = "concat_ws(',', CASE WHEN question IS NULL THEN 'question' END, CASE WHEN answer IS NULL THEN 'answer' END, CASE WHEN acceptable_1 IS NULL THEN 'acceptable_answers' END, CASE WHEN answer_explanation IS NULL THEN 'answer_explanation' END)"
+_FILL_MISSING = "concat_ws(',', CASE WHEN question IS NULL THEN 'question' END, CASE WHEN answer IS NULL THEN 'answer' END, CASE WHEN answer_explanation IS NULL THEN 'answer_explanation' END)"
 _OPTS = "lower(concat_ws(' ', opt_a, opt_b, opt_c, opt_d))"
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 # words next to the blank, in the views the stem ends with the blank

@@ -171,7 +171,7 @@ def _own_rules() -> Column:
     fill_in: list[Rule] = [
         ("blank_answer", F.col("_ans") == ""),
         ("no_blank_cue", ~has_any(F.col("_ql"), V.BLANK_CUES)),
-        ("answer_not_accepted", ~F.array_contains(accepted, F.lower(F.col("_ans")))),
+        ("answer_not_accepted", ~F.coalesce(F.array_contains(accepted, F.lower(F.col("_ans"))), F.lit(False))),
         ("answer_not_in_passage", answer_not_in_passage()),
         ("passage_missing", passage_missing()),
         ("answer_beside_blank", answer_beside_blank()),

@@ -33,6 +33,12 @@ def ordering(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc() if up else F.col(c).desc() for c, up in map(_order, order)]
 
 
+def _count_below(cuts: Sequence[float], value: Column) -> Column:
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < value))
+
+
 def position_in_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos", up_to: int | None = None
 ) -> DataFrame:
@@ -52,8 +58,8 @@ def position_in_group(
     slices = []
     for i, (c, up) in enumerate(specs):
         cuts = sorted(set(bounds[f"q{i}"] or []))
-        below = F.filter(F.array(*map(F.lit, cuts)), lambda b, c=c: b < F.col(c)) if cuts else F.array()
-        slices.append((F.size(below) if up else -F.size(below)).alias(f"_s{i}"))
+        below = _count_below(cuts, F.col(c))
+        slices.append((below if up else -below).alias(f"_s{i}"))
     names = [f"_s{i}" for i in range(len(specs))]
     cut = df.select("*", *slices)
     group = [*keys, *names]
