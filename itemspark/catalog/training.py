@@ -7,6 +7,7 @@ from itemspark.catalog.sourcing import chats, pairs
 from itemspark.catalog.validation import _REJECT, _WS, item_rows
 from itemspark.functions import chat, classes, curriculum, text
 from itemspark.operators import aggs, profile, score, training, validate
+from itemspark.skew import settle
 
 _TOK = "greatest(1, CAST(floor(length({c}) / 4) AS BIGINT))"
 _TURN = "concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10))"
@@ -137,7 +138,8 @@ def item_chats(d):
     body = F.to_json(F.struct("id", "type", "question", "answer", "answer_options", "acceptable_answers", "difficulty", "answer_explanation"))
     turn = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
     ask = F.concat(F.lit("Write an item. Standard ID: "), "standard")
-    return item_rows(d).select("ordinal", F.array(turn("system", F.lit("You write items.")), turn("user", ask), turn("assistant", body)).alias("messages"))
+    messages = F.array(turn("system", F.lit("You write items.")), turn("user", ask), turn("assistant", body))
+    return settle(item_rows(d).select("ordinal", messages.alias("messages")))
 
 
 @query("f6_profile_items", """

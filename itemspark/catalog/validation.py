@@ -6,15 +6,16 @@ from itemspark.catalog.base import query
 from itemspark.functions import options
 from itemspark.functions import fixed_values as V
 from itemspark.operators import bank, joins, mend, validate
+from itemspark.skew import settle
 
 
 def item_rows(d):
     """The items view with its options as a map and its accepted answers as an array."""
     wide = d.view("items")
     accepted = F.when(F.col("acceptable_1").isNotNull(), F.array("acceptable_1"))
-    return wide.withColumn(
+    return settle(wide.withColumn(
         "answer_options", options.from_wide(F.col("opt_a"), F.col("opt_b"), F.col("opt_c"), F.col("opt_d"))
-    ).withColumn("acceptable_answers", accepted).drop("opt_a", "opt_b", "opt_c", "opt_d", "acceptable_1")
+    ).withColumn("acceptable_answers", accepted).drop("opt_a", "opt_b", "opt_c", "opt_d", "acceptable_1"))
 
 
 def _any(col, needles):

@@ -73,11 +73,11 @@ def example_candidates(
     samples: DataFrame, key: str, reply: Column, user: Column, score: Column, source: str, standard: Column | None = None
 ) -> DataFrame:
     """Valid items found in replies, with the standard named in the user's text (or in ``standard``)."""
-    base = samples.select(
+    base = settle(samples.select(
         key, user.alias("user_prompt"), reply.alias("_reply"), score.alias("score"),
         (F.lit(None).cast("string") if standard is None else standard).alias("_given"),
-    )
-    found = extract_json(settle(base.filter("user_prompt <> '' and trim(_reply) <> ''")), "_reply").filter("parsed is not null")
+    ))
+    found = extract_json(base.filter("user_prompt <> '' and trim(_reply) <> ''"), "_reply").filter("parsed is not null")
     named = F.coalesce("_given", chat.standard_in_text(F.col("user_prompt")), F.lit("unknown"))
     items = settle(_item_as_written(found).withColumn("standard", named))
     good = validate_schema(items).filter("reject_reason is null")

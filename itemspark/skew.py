@@ -72,8 +72,10 @@ def position_in_group(
     )
     if up_to is not None:
         sizes = sizes.filter(F.col("_before") < up_to)
-    on = [cut[c].eqNullSafe(sizes[c]) for c in group]
-    joined = cut.join(sizes, on, "inner").select(*[cut[c] for c in cut.columns], "_before")
+    twins = {c: f"_k{i}" for i, c in enumerate(group)}
+    sizes = sizes.select(*[F.col(c).alias(t) for c, t in twins.items()], "_before")
+    on = [F.col(c).eqNullSafe(F.col(t)) for c, t in twins.items()]
+    joined = cut.join(sizes, on, "inner").drop(*twins.values())
     rn = F.row_number().over(W.partitionBy(*group).orderBy(*ordering(order)))
     ranked = joined.withColumn(out, (rn + F.col("_before")).cast("long")).drop("_before", *names)
     return ranked if up_to is None else ranked.filter(F.col(out) <= up_to)
