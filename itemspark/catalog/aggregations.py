@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from itemspark.catalog.base import query
 from itemspark.functions import classes, text
-from itemspark.operators import aggs, ranks
+from itemspark.operators import aggs
 
 _BREAKDOWN = """
 SELECT CASE WHEN grouping(difficulty) = 1 THEN 'by_type' WHEN grouping(type) = 1 THEN 'by_difficulty'
@@ -281,3 +281,43 @@ SELECT standard, difficulty, CAST(sum(n) AS BIGINT) AS n_failures, max(CASE WHEN
   max(CASE WHEN rn = 1 THEN n END) AS top_count FROM r GROUP BY standard, difficulty HAVING sum(n) >= 3""")
 def _(d):
     return aggs.repeated_failures(d.view("failure_log"))
+
+
+@query("f18_dimension_failures", """
+SELECT 'clarity' AS dim, grade, count(*) AS n FROM [eval_rows] WHERE score < 0.85 AND score - 0.25 < 0.85 GROUP BY grade
+UNION ALL SELECT 'fit', grade, count(*) FROM [eval_rows] WHERE score < 0.85 AND score / 2 < 0.4 GROUP BY grade""")
+def _(d):
+    dims = F.explode(F.array(
+        F.struct(F.lit("overall").alias("dim"), F.col("score").alias("s")), F.struct(F.lit("clarity").alias("dim"), (F.col("score") - 0.25).alias("s")),
+        F.struct(F.lit("fit").alias("dim"), F.when(F.col("score") / 2 < 0.4, 0.1).otherwise(0.9).alias("s")),
+    )).alias("e")
+    rows = d.view("eval_rows").select("ordinal", "grade", F.col("score").alias("item_score"), dims)
+    rows = rows.select("ordinal", "grade", "item_score", F.lit(0).alias("eval_pos"), "e.dim", F.when(F.col("item_score").isNotNull(), F.col("e.s")).alias("score"))
+    return aggs.dimension_failures(rows).groupBy("dim", "grade").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f19_item_score", """
+SELECT standard, difficulty, round(CAST(sum(CAST(score AS DECIMAL(18,6))) AS DOUBLE) / count(score), 6) AS mean_score,
+  arg_min(score, ordinal) FILTER (WHERE score IS NOT NULL) AS first_score FROM [eval_rows] WHERE score IS NOT NULL GROUP BY ALL""")
+def _(d):
+    keys = ["standard", "difficulty"]
+    ev = d.view("eval_rows").select(*keys, F.col("ordinal").alias("eval_pos"), F.lit("overall").alias("dim"), "score")
+    both = aggs.item_score(ev, keys, "mean").withColumnRenamed("score", "mean_score")
+    return both.join(aggs.item_score(ev, keys, "first").withColumnRenamed("score", "first_score"), keys)
+
+
+@query("f5_approx_length_summary")
+def _(d):
+    return aggs.approx_length_summary(d.table("conversations").select("role", text.est_tokens(F.col("text")).alias("n_tokens")))
+
+
+@query("f3_valid_item_dimensions", """
+WITH s AS (SELECT difficulty, standard, 'ELA' AS subject FROM [items] WHERE type = 'msq' AND question IS NOT NULL AND answer_explanation IS NOT NULL AND opt_d IS NOT NULL AND answer <> 'B')
+SELECT CASE WHEN grouping(difficulty) = 0 THEN 'difficulty' WHEN grouping(standard) = 0 THEN 'standard' WHEN grouping(subject) = 0 THEN 'subject' ELSE 'total' END AS dimension,
+  coalesce(difficulty, standard, subject) AS value, count(*) AS n FROM s GROUP BY GROUPING SETS ((difficulty), (standard), (subject), ())""")
+def _(d):
+    from itemspark.catalog.validation import item_rows
+    from itemspark.operators import validate
+
+    good = validate.validate_schema(item_rows(d).filter("type = 'msq'")).filter("reject_reason is null")
+    return aggs.dimension_counts(good.withColumn("subject", F.lit("ELA")))

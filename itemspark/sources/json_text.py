@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from itemspark import skew
 from itemspark.functions.text import seeded_order
@@ -20,24 +19,15 @@ CHAT_SCHEMA = (
 )
 
 
-def _with_bad(schema: str | T.StructType) -> str | T.StructType:
-    if isinstance(schema, str):
-        return f"{schema}, {_BAD} string"
-    return T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-
-
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, keep_bad: bool = True) -> DataFrame:
     """One JSON object per line; blank lines vanish.
 
-    A line that is no JSON is kept with ``_parse_error`` set (and its text), or
-    dropped when ``keep_bad`` is false. ``_file`` names the source file.
+    A line that is no JSON is kept with ``_parse_error`` set, its text being in
+    ``_line``, or dropped when ``keep_bad`` is false. ``_file`` names the source file.
     """
-    df = (
-        spark.read.schema(_with_bad(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD)
-        .json(path).withColumn("_file", F.col("_metadata.file_path"))
-    )
-    df = df.withColumn("_parse_error", F.col(_BAD).isNotNull())
-    return df if keep_bad else df.filter(~F.col("_parse_error")).drop(_BAD, "_parse_error")
+    lines = spark.read.text(path).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"))
+    df = json_lines(lines, "_line", schema)
+    return df if keep_bad else df.filter(~F.col("_parse_error")).drop("_line", "_parse_error")
 
 
 def read_json_docs(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -46,12 +36,15 @@ def read_json_docs(spark: SparkSession, path: str | list[str], schema: str) -> D
 
 
 def json_lines(df: DataFrame, text: str, schema: str) -> DataFrame:
-    """The same for a column of JSON lines: adds the fields and ``_parse_error``."""
+    """The same for a column of JSON lines: adds the fields and ``_parse_error``.
+
+    Each line is parsed once, whatever is filtered or selected later.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    lines = df.filter(F.trim(text) != "")
-    rest = [c for c in df.columns if c != text]
-    parsed = lines.select(*rest, text, F.from_json(text, _with_bad(schema), options).alias("_j")).select(*rest, text, "_j.*")
-    return parsed.withColumn("_parse_error", F.col(_BAD).isNotNull()).drop(_BAD)
+    parsed = F.from_json(text, f"{schema}, {_BAD} string", options)
+    lines = skew.settle(df.filter(F.trim(text) != "").withColumn("_j", parsed))
+    bad = F.col(f"_j.{_BAD}").isNotNull()
+    return lines.select(*df.columns, "_j.*", bad.alias("_parse_error")).drop(_BAD)
 
 
 def json_docs(df: DataFrame, text: str, schema: str) -> DataFrame:
