@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 
 from itemspark.functions import fixed_values as V
 
-_SPACE = r"(?U)[\s\x1c-\x1f]+"
+# fixed values: the characters that count as white space, and a run of them
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def strip(text: Column) -> Column:
     """Cut every kind of Unicode white space at both ends (``trim`` cuts only U+0020)."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPACE), lambda w: w != "")
+    return F.filter(F.split(text, SPACES), lambda w: w != "")
+
+
+def one_line(text: Column) -> Column:
+    """White-space runs become one plain space; none is left at the ends."""
+    return strip(F.regexp_replace(text, SPACES, " "))
 
 
 def strip_chars(text: Column, chars: str) -> Column:
@@ -29,11 +36,11 @@ def strip_chars(text: Column, chars: str) -> Column:
 
 def norm_text(text: Column) -> Column:
     """Hard and wide spaces become plain, runs collapse to one."""
-    return strip(F.regexp_replace(F.translate(text, "\u00a0\u2003\u2002", "   "), _SPACE, " "))
+    return one_line(F.translate(text, "\u00a0\u2003\u2002", "   "))
 
 
 def snippet(text: Column, max_len: int = 200) -> Column:
-    flat = strip(F.regexp_replace(text, _SPACE, " "))
+    flat = one_line(text)
     return F.when(F.length(flat) > max_len, F.concat(F.substring(flat, 1, max_len - 3), F.lit("..."))).otherwise(flat)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from itemspark import skew
 from itemspark.functions import fixed_values as V
-from itemspark.functions.text import has_any, short_standard, snippet, strand, strip
+from itemspark.functions.text import has_any, one_line, short_standard, snippet, strand, strip
 from itemspark.operators.joins import KEY, lookup_negatives, lookup_rules, retrieve_examples
 
 Theme = tuple[Sequence[str], str]
@@ -30,7 +30,7 @@ def failure_feedback(rows: DataFrame, passing: float = V.PASS_SCORE, reason_char
 
 def _snippets(feedback: DataFrame, snippet_chars: int | None) -> DataFrame:
     text = F.coalesce("suggestion", "reasoning")
-    shown = strip(F.regexp_replace(text, r"(?U)\s+", " ")) if snippet_chars is None else snippet(text, snippet_chars)
+    shown = one_line(text) if snippet_chars is None else snippet(text, snippet_chars)
     return feedback.filter("standard <> 'unknown'").withColumn("rule", shown).filter("rule is not null")
 
 

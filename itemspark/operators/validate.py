@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from itemspark.functions import fixed_values as V
 from itemspark.functions.options import letters_in
-from itemspark.functions.text import built_once, est_tokens, has_any, let, norm_text, strip, strip_chars, words
+from itemspark.functions.text import SPACES, built_once, est_tokens, has_any, let, norm_text, strip, strip_chars, words
 from itemspark.skew import settle
 
 Rule = tuple[str, Column]
@@ -81,7 +81,7 @@ def passage_text() -> Column:
         return F.regexp_replace(F.lower(F.regexp_replace(line, "__{2,}", " ")), V.PUNCTUATION, " ")
 
     joined = F.array_join(F.transform(F.filter(lines, is_text), clean), " ")
-    return F.concat(F.lit(" "), F.regexp_replace(F.concat(F.lit(" "), joined), r"(?U)\s+", " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(F.concat(F.lit(" "), joined), SPACES, " "), F.lit(" "))
 
 
 def _word_forms(word: Column) -> Column:
