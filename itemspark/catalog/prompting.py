@@ -111,6 +111,11 @@ def _placed(d):
     )
 
 
+def capped_rules(d):
+    """The rule store as a merge leaves it: distinct rules, short lists."""
+    return rules.merge_rules(_placed(d), _placed(d))
+
+
 _STREAKS = f"""q AS (SELECT {KEYS}, ordinal, score FROM [eval_rows] WHERE score IS NOT NULL),
 lp AS (SELECT {KEYS}, max(ordinal) AS lp FROM q WHERE score >= 0.95 GROUP BY ALL),
 st AS (SELECT q.standard, q.difficulty, q.type, count(*) AS streak FROM q LEFT JOIN lp USING ({KEYS}) WHERE lp IS NULL OR ordinal > lp GROUP BY ALL HAVING count(*) >= 3),
@@ -150,14 +155,14 @@ def prompts(d):
     )
     negatives = d.view("negatives").withColumn("bad_question", F.concat(F.lit("row "), F.col("bad_ordinal").cast("string"))).withColumn("bad_answer", F.lit("A"))
     standards = items.groupBy("standard").agg(F.min("question").alias("standard_description"))
-    return rules.build_prompts(items.select("standard", "difficulty", "type"), standards, _placed(d), negatives.drop("bad_ordinal"), seeds)
+    return rules.build_prompts(items.select("standard", "difficulty", "type"), standards, capped_rules(d), negatives.drop("bad_ordinal"), seeds)
 
 
 _PROMPT_FACTS = f"""
 WITH p AS (SELECT DISTINCT {KEYS} FROM [items]), x AS (SELECT i.ordinal, i.standard, i.difficulty, i.type FROM [items] i JOIN [eval_rows] e ON e.ordinal = i.ordinal WHERE e.score >= 0.95),
 ex AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.standard = p.standard AND x.difficulty = p.difficulty AND x.type = p.type) THEN (SELECT count(*) FROM x WHERE x.standard = p.standard AND x.difficulty = p.difficulty AND x.type = p.type)
   WHEN EXISTS (SELECT 1 FROM x WHERE x.standard = p.standard AND x.type = p.type) THEN (SELECT count(*) FROM x WHERE x.standard = p.standard AND x.type = p.type) ELSE 2 END AS n FROM p),
-ru AS (SELECT p.*, (SELECT count(*) FROM [rules] r WHERE r.scope = 'standard' AND r.standard = p.standard) + (SELECT count(*) FROM [rules] r WHERE r.scope = 'standard_difficulty' AND r.standard = p.standard AND r.difficulty = p.difficulty AND r.type = p.type) AS n FROM p)
+ru AS (SELECT p.*, (SELECT least(3, count(DISTINCT lower(rule))) FROM [rules] r WHERE r.scope = 'standard' AND r.standard = p.standard) + (SELECT least(3, count(DISTINCT lower(rule))) FROM [rules] r WHERE r.scope = 'standard_difficulty' AND r.standard = p.standard AND r.difficulty = p.difficulty AND r.type = p.type) AS n FROM p)
 SELECT p.standard, p.difficulty, p.type, least(ex.n, 2) AS n_examples, ru.n AS n_rules, (SELECT streak FROM [negatives] n WHERE n.standard = p.standard AND n.difficulty = p.difficulty AND n.type = p.type) AS streak
 FROM p JOIN ex USING ({KEYS}) JOIN ru USING ({KEYS})"""
 

@@ -158,12 +158,17 @@ def _(d):
     return documents.result_dims(rows).select("ordinal", "dim", "score", "reasoning")
 
 
+# the stored lists are the ones a merge leaves: distinct rules, the last 10 (global) or 3 of a key
 @query("a11_rules_round_trip", """
 WITH k AS (SELECT scope, CASE WHEN scope = 'global' THEN NULL ELSE standard END AS standard, CASE WHEN scope = 'standard_difficulty' THEN difficulty END AS difficulty,
-  CASE WHEN scope = 'standard_difficulty' THEN type END AS type, pos, rule FROM [rules])
-SELECT scope, standard, difficulty, type, row_number() OVER (PARTITION BY scope, standard, difficulty, type ORDER BY pos) - 1 AS pos, rule FROM k""")
+  CASE WHEN scope = 'standard_difficulty' THEN type END AS type, pos, rule FROM [rules]),
+g AS (SELECT scope, standard, difficulty, type, min(pos) AS pos, arg_max(rule, pos) AS rule FROM k GROUP BY scope, standard, difficulty, type, lower(rule)),
+c AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY scope, standard, difficulty, type ORDER BY pos DESC) <= CASE WHEN scope = 'global' THEN 10 ELSE 3 END)
+SELECT scope, standard, difficulty, type, row_number() OVER (PARTITION BY scope, standard, difficulty, type ORDER BY pos) - 1 AS pos, rule FROM c""")
 def _(d):
-    return documents.read_rules(documents.rule_docs(d.view("rules")).select("value"))
+    from itemspark.catalog.prompting import capped_rules
+
+    return documents.read_rules(documents.rule_docs(capped_rules(d)).select("value"))
 
 
 @query("a12_export_payload", """

@@ -186,11 +186,13 @@ def rate_limit_alerts(
 ) -> DataFrame:
     """Events that see ``at_least`` events of their key in the trailing window, and the pause they start.
 
-    A key is cut into hours; the last ``window_s`` seconds of an hour are also
-    handed to the next one, so every frame is complete and no task holds a whole key.
+    A key is cut into stretches of ten windows; the last ``window_s`` seconds of a
+    stretch are also handed to the next one, so every frame is complete and no
+    task holds a whole key.
     """
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
-    step, span = 3_600_000_000, window_s * 1_000_000
+    span = window_s * 1_000_000
+    step = 10 * span
     timed = events.withColumn("_us", micros).withColumn("_own", F.floor(F.col("_us") / step))
     late = F.floor((F.col("_us") + span) / step)
     spread = timed.withColumn("_part", F.explode(F.sequence(F.col("_own"), late)))

@@ -35,8 +35,7 @@ def test_breakdown_reads_only_its_columns_and_shuffles_aggregates(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    df = QUERIES["j_probe"] if "j_probe" in QUERIES else QUERIES["f8_failure_counts"]
-    assert "EqualTo(event_type,error)" in plan_of(df(spark, SMALL))
+    assert "EqualTo(event_type,error)" in plan_of(QUERIES["f8_failure_counts"](spark, SMALL))
 
 
 def test_result_does_not_depend_on_partitions(spark):
