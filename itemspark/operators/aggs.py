@@ -327,8 +327,12 @@ def usage_totals(calls: DataFrame, by: Sequence[str] = ("model",), valid: str |
 
 
 def round_log_summary(rounds: DataFrame, by: Sequence[str] = ("model", "grade")) -> DataFrame:
-    """Rounds, mean pass rate, best rate with its first round, and cost per currency."""
-    best = F.min(F.struct((-F.col("pass_rate")).alias("neg"), F.col("round").alias("round")))
+    """Rounds, mean pass rate, best rate with its first round, and cost per currency.
+
+    A round without a scored item has no rate and cannot be the best.
+    """
+    rated = F.struct((-F.col("pass_rate")).alias("neg"), F.col("round").alias("round"))
+    best = F.min(F.when(F.col("pass_rate").isNotNull(), rated))
     money = [
         F.coalesce(_exact_sum(F.when(F.col("currency") == code, F.col("amount"))), F.lit(0)).cast("decimal(18,2)").alias(
             f"cost_{code.lower()}"
