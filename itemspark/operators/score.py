@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemspark.functions import fixed_values as V
+from itemspark.session import ship
+
+ship(__name__)
 
 Scorer = Callable[[dict], float]
 

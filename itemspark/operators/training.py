@@ -13,8 +13,11 @@ from itemspark.functions import fixed_values as V
 from itemspark.functions.text import est_tokens, seeded_order, words
 from itemspark.operators.parse import extract_json
 from itemspark.operators.validate import validate_schema
+from itemspark.session import ship
 from itemspark.skew import settle
 
+ship(__name__)
+
 
 # ---- rows -------------------------------------------------------------------
 def sft_from_chats(chats: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

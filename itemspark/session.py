@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(module: str) -> None:
+    """Send the functions of a module to the workers along with the job, so the package need not be installed there."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     return (
