@@ -48,3 +48,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND good_chars >= {1 - quality.MAX_LOST} * word_chars AS kept
 FROM ruled
 """
+
+ORACLES["op6_exact_top_k"] = """
+WITH fit AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM fit q JOIN fit c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+#: control strings as the formatter knows them, without look-ahead; each takes two more characters when escaped
+_CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|<\|(im_start|im_end|system|user|assistant|end|endoftext|eot_id)\|>"
+_ADDED = "2 * len(regexp_extract_all({0}, '" + _CONTROL + "')) + len({0}) - len(replace({0}, chr(27), ''))"
+
+ORACLES["op7_chat_formatting"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)),
+sized AS (
+  SELECT *, 3 + 1 + 4 + len(role) + len(text) + len(role) - len(replace(role, chr(10), ''))
+            + {_ADDED.format("text")} + {_ADDED.format("role")} AS n
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

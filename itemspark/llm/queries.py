@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import quality
+from itemspark.llm import chat_format, quality, top_k
 from itemspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,17 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.quality_rules(read(spark, folder, "documents").select("doc_id", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select("doc_id", *[F.col(f"quality.{n}") for n in names])
+
+
+@query
+def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = top_k.whole_vectors(read(spark, folder, "embeddings"))
+    return top_k.exact_top_k(vectors, F.col("id") % 50 == 0, 5)
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    return chat_format.chat_digest(chat_format.format_chats(rows.unionByName(extra)))
