@@ -83,3 +83,17 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+           ((CAST('0x' || substr(hex, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest
+  FROM p),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < original THEN original END AS refers_to
+FROM o
+"""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import chat_format, quality, top_k
+from itemspark.llm import chat_format, mixing, quality, top_k, warc
 from itemspark.llm.common import read
+from itemspark.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,3 +39,16 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     return chat_format.chat_digest(chat_format.format_chats(rows.unionByName(extra)))
+
+
+@query
+def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(read(spark, folder, "pages"), path)
+    back = warc.read_archives(spark, path)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
