@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import chat_format, mixing, quality, top_k, warc
+from itemspark.llm import chat_format, line_dedup, mixing, quality, top_k, warc
 from itemspark.llm.common import read
 from itemspark.session import shared_folder
 
@@ -52,3 +52,8 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     warc.write_archives(read(spark, folder, "pages"), path)
     back = warc.read_archives(spark, path)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_digest(read(spark, folder, "documents"))
