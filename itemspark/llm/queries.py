@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import chat_format, line_dedup, mixing, quality, top_k, warc
+from itemspark.llm import chat_format, line_dedup, mixing, packing, quality, top_k, warc
 from itemspark.llm.common import read
 from itemspark.session import shared_folder
 
@@ -57,3 +58,8 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_digest(read(spark, folder, "documents"))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
