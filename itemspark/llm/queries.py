@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import chat_format, line_dedup, mixing, packing, quality, top_k, warc
+from itemspark.llm import chat_format, line_dedup, mixing, near_duplicates, packing, quality, top_k, warc
 from itemspark.llm.common import read
 from itemspark.session import shared_folder
 
@@ -63,3 +63,8 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, folder, "documents"), width=4, percent=85)
