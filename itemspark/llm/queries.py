@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import chat_format, line_dedup, mixing, near_duplicates, packing, quality, top_k, warc
+from itemspark.llm import chat_format, html_text, line_dedup, mixing, near_duplicates, packing, quality, top_k, warc
 from itemspark.llm.common import read
 from itemspark.session import shared_folder
 
@@ -68,3 +68,9 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, folder, "documents"), width=4, percent=85)
+
+
+@query
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    texts = html_text.extract_text(read(spark, folder, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
