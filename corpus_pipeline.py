@@ -4,23 +4,50 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemspark.llm import quality
+from itemspark.llm import line_dedup, mixing, near_duplicates, packing, quality
 from itemspark.llm.common import read
 from itemspark.session import shared_folder
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the line rules, without their failing lines."""
     return quality.clean_documents(docs)
 
 
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many of them share."""
+    return line_dedup.dedup_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, a similarity of 0.8."""
+    return near_duplicates.one_of_each(docs, width=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in a sequence."""
+    return packing.pack_documents(docs, TOKENIZER)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", drop_shared_lines),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
 
-#: Tokenizing and packing cannot be said in SQL; tests compare with a brute-force version.
+#: Tokens of a byte-pair vocabulary cannot be said in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -11,8 +11,8 @@ blocks, so that small sources also come near their target.
 
 Cases: a null text has no words; a null source is a source of its own, the last;
 documents without words are never taken and stay in the result; repeated rows
-are documents of their own with the same shuffle place, told apart by their
-content hash and, if still equal, treated alike; an empty table gives no rows.
+are documents of their own, neighbours in the shuffled order; an empty table
+gives no rows.
 Extra columns are not read. Running sums go through buckets, so that no source
 meets in one task.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from itemspark.llm.common import SPACE_CLASS
+from itemspark.llm.common import SPACE_CLASS, with_text, words
 from itemspark.session import durable
 
 #: Weights of the sources by code point, repeating; the mix has 150 % of all words; a source gives twice its words at most.
@@ -118,7 +118,7 @@ def lay_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     sums = known.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
     earlier = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     firsts = sums.select(F.col("source_no").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    order = W.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size")
+    order = W.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "t")
     inside = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = known.withColumn("inside", inside).withColumn("place", F.row_number().over(order))
     joined = placed.join(firsts, (F.col("source_no") == F.col("_s")) & (F.col("bucket") == F.col("_b")))
@@ -126,8 +126,12 @@ def lay_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """Every document with ``size``, ``source_size``, ``target`` and ``taken``, and per epoch the words taken in ``by_epoch``."""
-    sizes = durable(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")))
+    """Every document with ``size``, ``source_size``, ``target`` and ``taken``.
+
+    ``by_epoch`` has the words taken in the first and in the second round over
+    its source, ``t`` a hash of the text.
+    """
+    sizes = durable(docs.select("doc_id", "source", F.xxhash64("text").alias("t"), count_words(F.col("text")).alias("size")))
     sources = durable(targets(sizes))
     n_slots = int(sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0])
     times = schedule(sources, n_slots).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
@@ -138,9 +142,24 @@ def mix(docs: DataFrame) -> DataFrame:
     words = F.least(end, (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)
     pieces = pieces.withColumn("words", words).join(times, ["source_no", "block"], "left")
     took = lambda epoch: F.sum(F.when(F.col("times") > epoch, F.col("words")).otherwise(0))
-    by_doc = pieces.groupBy("source_no", "bucket", "place", "doc_id", "source", "size", "source_size", "target").agg(took(0).alias("first_epoch"), took(1).alias("second_epoch"))
+    by_doc = pieces.groupBy("source_no", "bucket", "place", "doc_id", "source", "t", "size", "source_size", "target").agg(took(0).alias("first_epoch"), took(1).alias("second_epoch"))
     return by_doc.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "t", "size", "source_size", "target",
         (F.col("first_epoch") + F.col("second_epoch")).cast("long").alias("taken"),
         F.array("first_epoch", "second_epoch").alias("by_epoch"),
     )
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents: a row for each round that takes a document; same columns.
+
+    A document at the end of its source's quota is cut to the words that are
+    taken, all others are whole.
+    """
+    number = F.row_number().over(W.partitionBy("_k").orderBy("_k"))
+    key = lambda t: F.xxhash64("doc_id", "source", t).alias("_k")
+    took = mix(docs).select(key(F.col("t")), "size", "by_epoch").withColumn("_n", number)
+    rows = docs.select("*", key(F.xxhash64("text"))).withColumn("_n", number)
+    rounds = rows.join(took, ["_k", "_n"]).withColumn("_words", F.explode("by_epoch")).filter("_words > 0")
+    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_words").cast("int")), " "))
+    return with_text(rounds, text).select(*docs.columns)

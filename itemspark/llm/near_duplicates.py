@@ -329,3 +329,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
     return drawn.join(whole, drawn["doc_id"] == whole["_id"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near copies: of a component the smallest id stays; same columns."""
+    found = near_duplicates(docs, width, percent)
+    copies = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, docs["doc_id"].cast("long") == copies["_copy"], "left_anti")
