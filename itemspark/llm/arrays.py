@@ -105,8 +105,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its word shingles; a shorter text is one shingle, one without words has none."""
-    starts, ends, first = words_of(lower_ascii(data), offsets)
-    word = span_hashes(lower_ascii(data), starts, ends)
+    low = lower_ascii(data)
+    starts, ends, first = words_of(low, offsets)
+    word = span_hashes(low, starts, ends)
     n = max(0, len(word) - width + 1)
     with np.errstate(over="ignore"):
         rolled = np.zeros(n, _U)
@@ -116,7 +117,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
+            every = np.sort(rolled[a : b - width + 1])
+            new = np.ones(len(every), bool)
+            new[1:] = every[1:] != every[:-1]
+            out.append(every[new])
         elif b > a:
             with np.errstate(over="ignore"):
                 h = np.zeros(1, _U)
@@ -200,3 +204,78 @@ def twice_seen(rows: DataFrame, columns: list[str], hashes_of: Callable[[pa.Reco
         packed[r["shard"] * width : (r["shard"] + 1) * width] = np.packbits(shard, bitorder="little")
     return TwiceFilter(packed, bits)
 
+
+class RepeatedFilter(TwiceFilter):
+    """A Bloom filter of the values that occur twice or more, by fingerprints of ``kept`` bits."""
+
+    def __init__(self, packed: np.ndarray, bits: int, kept: int):
+        super().__init__(packed, bits)
+        self.kept = kept
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        return super().holds(mix(hashes >> _U(64 - self.kept)))
+
+
+def _gaps(sorted_values: np.ndarray) -> bytes:
+    """Ascending 32-bit values as gaps of the fewest bytes; the first byte tells the width."""
+    gaps = np.diff(sorted_values, prepend=0)
+    top = int(gaps.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 3 if top < 1 << 24 else 4
+    return bytes([width]) + gaps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _from_gaps(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    wide = np.zeros((len(raw), 4), np.uint8)
+    wide[:, :width] = raw
+    return np.cumsum(wide.view("<u4").ravel(), dtype=np.int64)
+
+
+def repeated(rows: DataFrame, columns: list[str], hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = 1 << 27) -> RepeatedFilter:
+    """A filter of the hashes that occur twice or more among all rows.
+
+    For many more values than a filter of once-seen ones could hold: tasks send
+    the fingerprints of their different values as gaps, shards count them, and
+    only repeated ones enter the filter, which is all that comes to the driver.
+    """
+    shard_bits = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2)
+    kept = shard_bits + 32
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice, held, size = np.zeros(0, _U), np.zeros(0, _U), [], 0
+
+        def settle(once, twice, held):
+            every, n = np.unique(np.concatenate([once, *held]), return_counts=True)
+            return every, np.union1d(twice, every[n > 1])
+
+        for batch in batches:
+            for h in hashes_of(batch):
+                held.append(h >> _U(64 - kept))
+                size += len(h)
+                if size > 1 << 21:
+                    once, twice = settle(once, twice, held)
+                    held, size = [], 0
+        once, twice = settle(once, twice, held)
+        shards = np.unique(once >> _U(32)).astype(np.int64)
+        blobs = []
+        for values in (once, twice):
+            low = (values & _U(0xFFFFFFFF)).astype(np.int64)
+            begins, ends = (np.searchsorted(values, (shards + k).astype(_U) << _U(32)) for k in (0, 1))
+            blobs.append([_gaps(low[a:b]) for a, b in zip(begins, ends, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["shard", "once", "twice"])
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        every = np.sort(np.concatenate([_from_gaps(b) for b in part["once"]]))
+        often = np.concatenate([every[1:][every[1:] == every[:-1]], *[_from_gaps(b) for b in part["twice"]]])
+        shard = int(part["shard"].iloc[0])
+        fingerprint = (_U(shard) << _U(32)) | np.unique(often).astype(_U)
+        at = np.unique(np.concatenate(places(mix(fingerprint), bits)))
+        return pd.DataFrame({"at": [at.astype("<u4").tobytes()]})
+
+    made = rows.select(*columns).mapInArrow(local, "shard int, once binary, twice binary")
+    packed = np.zeros(bits // 8, np.uint8)
+    for r in made.groupBy("shard").applyInPandas(merge, "at binary").toLocalIterator():
+        at = np.frombuffer(r["at"], "<u4").astype(np.int64)
+        np.bitwise_or.at(packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return RepeatedFilter(packed, bits, kept)

@@ -6,7 +6,8 @@ to pivots. The steps:
 1. *Reach.* A size class fixes how many shingles two linked sets of it can
    differ in at most. The universe is cut into more parts than that, so two
    linked sets have some part in common whole. Only sets with a part that two
-   sets share (told by two Bloom filters) go on; copies are one set from here.
+   sets share (told by a Bloom filter of repeated parts) go on; copies are one
+   set from here.
 2. *Pivots and regions.* Of the sets that share a part the one of smallest hash
    is their pivot; a set belongs to the regions of its pivots. Linked sets share
    a part, hence a pivot. Regions are what pivots reach, which is why no set is
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemspark.llm.arrays import mix, shingle_sets, stretches, twice_seen
+from itemspark.llm.arrays import mix, repeated, shingle_sets, stretches
 from itemspark.session import durable, ship
 
 ship(__name__)
@@ -243,29 +244,29 @@ def _divide(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pivots = top_rows(hashed, ["region"], ["h"], _PIVOTS).select("region", F.col("rep").alias("pivot"))
     with_sets = pivots.join(sets.select(F.col("rep").alias("pivot"), F.col("members").alias("pivot_members")), "pivot")
     salts = 64
-    left = regions.join(sets.select("rep", "members"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int"))
+    left = regions.select("region", "rep").join(sets, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int"))
     right = with_sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     far = left.join(right, ["region", "salt"]).mapInPandas(_distances, "region long, rep long, pivot long, distance double")
     nearest = far.groupBy("region", "rep").agg(F.min("distance").alias("nearest"))
     radius = (100 - percent) / 100
     near = far.join(nearest, ["region", "rep"]).filter(F.col("distance") <= F.col("nearest") + 2 * radius + 1e-9)
-    return near.select(F.xxhash64("region", "pivot").alias("region"), "rep")
+    sized = near.join(regions.select(F.col("region").alias("_r"), F.col("rep").alias("_p"), "n"), (F.col("region") == F.col("_r")) & (F.col("rep") == F.col("_p")))
+    return sized.select(F.xxhash64("region", "pivot").alias("region"), "rep", "n")
 
 
 def _links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (``a``, ``b``) within all regions, by recursion where a region is large."""
     found = []
     for left in range(_ROUNDS, -1, -1):
-        known = regions.join(sets.select("rep", "n"), "rep")
-        sizes = known.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+        sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
         fits = (F.col("m") <= REGION_SETS) & (F.col("n") <= REGION_SHINGLES)
         small = sizes.filter((F.col("m") > 1) & fits).select("region")
         large = durable(sizes.filter((F.col("m") > 1) & ~fits))
-        rows = regions.join(small, "region").join(sets.select("rep", "members"), "rep")
+        rows = regions.select("region", "rep").join(small, "region").join(sets, "rep")
         found.append(rows.select("region", "rep", "members").groupBy("region").applyInPandas(_compare(percent), "a long, b long"))
         if large.isEmpty():
             break
-        big = regions.join(large.select("region"), "region")
+        big = regions.join(large.select("region"), "region").select("region", "rep", "n")
         if left:
             regions = durable(_divide(big, sets, percent).distinct())
             continue
@@ -278,7 +279,7 @@ def _links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "rep",
             F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"),
         )
-        rows = cell.join(sets.select("rep", "members"), "rep").select("region", "rep", "members", "side")
+        rows = cell.join(sets, "rep").select("region", "rep", "members", "side")
         found.append(rows.groupBy("region").applyInPandas(_compare(percent), "a long, b long"))
     out = found[0]
     for f in found[1:]:
@@ -304,7 +305,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row (integer ids)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = spark.sparkContext.broadcast(twice_seen(texts, ["text"], _hashes(width, percent), bits))
+    seen = spark.sparkContext.broadcast(repeated(texts, ["text"], _hashes(width, percent), bits))
     drawn = durable(texts.mapInArrow(_sketch(width, percent, seen), "doc_id long, n long, d1 long, d2 long, shared array<long>, members binary"))
     some = drawn.filter("n > 0 AND members IS NOT NULL AND doc_id IS NOT NULL")
     # one document stands for all with the same set
@@ -313,16 +314,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
     same = (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n") == F.col("_n"))
     # joined by one digest, so that Spark may split a set that many documents have
     member = some.select("doc_id", "n", "d1", "d2").join(keyed, same).select("doc_id", "rep")
-    first = some.join(reps.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    sets = first.select(F.col("doc_id").alias("rep"), "n", "members", "shared")
-    shown = sets.select("rep", F.explode("shared").alias("signature"))
+    sets = some.select(F.col("doc_id").alias("rep"), "members")
+    shown = some.join(reps.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("shared").alias("signature"))
     pivots = (
         shown.groupBy("signature")
         .agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))).alias("p"), F.count(F.lit(1)).alias("m"))
         .filter("m > 1")
         .select(F.col("signature").alias("_s"), F.col("p.rep").alias("region"))
     )
-    regions = durable(shown.join(pivots, F.col("signature") == F.col("_s")).select("region", "rep").distinct())
+    regions = durable(shown.join(pivots, F.col("signature") == F.col("_s")).select("region", "rep", "n").distinct())
     linked = components(_links(regions, sets, percent))
     whole = member.join(linked, member["rep"] == linked["node"], "left").select("doc_id", F.coalesce("label", "rep").alias("component"))
     whole = whole.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component").alias("_component"))
