@@ -158,8 +158,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     number = F.row_number().over(W.partitionBy("_k").orderBy("_k"))
     key = lambda t: F.xxhash64("doc_id", "source", t).alias("_k")
-    took = mix(docs).select(key(F.col("t")), "size", "by_epoch").withColumn("_n", number)
+    took = mix(docs).select(key(F.col("t")), F.col("size").alias("_size"), F.col("by_epoch").alias("_by_epoch")).withColumn("_n", number)
     rows = docs.select("*", key(F.xxhash64("text"))).withColumn("_n", number)
-    rounds = rows.join(took, ["_k", "_n"]).withColumn("_words", F.explode("by_epoch")).filter("_words > 0")
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_words").cast("int")), " "))
+    rounds = rows.join(took, ["_k", "_n"]).withColumn("_words", F.explode("_by_epoch")).filter("_words > 0")
+    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_words").cast("int")), " "))
     return with_text(rounds, text).select(*docs.columns)
