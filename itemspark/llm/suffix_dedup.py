@@ -298,9 +298,10 @@ def repeated_windows(docs: DataFrame, window: int = 200, bits: int = 1 << 28) ->
 
     def copied(rows: DataFrame) -> DataFrame:
         often = rows.groupBy("name", "digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-        often = often.select(F.col("name").alias("_name"), F.col("digest").alias("_digest"))
-        # joined by the digest alone, so that Spark may split a stretch that many documents hold
-        both = rows.join(often, (F.col("digest") == F.col("_digest")) & (F.col("name") == F.col("_name")))
+        often = often.select(F.col("name").alias("_name"), F.bitwise_not("digest").alias("_digest"))
+        # by another key than the counts are grouped by: both sides are shuffled for the join itself,
+        # and only then may Spark split a stretch that many documents hold
+        both = rows.join(often, (F.bitwise_not("digest") == F.col("_digest")) & (F.col("name") == F.col("_name")))
         return both.select("doc_id", "t", F.col("start").alias("lo"), (F.col("start") + F.col("windows") - 1).alias("hi"))
 
     found = copied(places)
