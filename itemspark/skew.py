@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 
 from itemspark.session import durable
 
-_SLICES = 64
+_LEAST_SLICES = 64
 
 
 def _order(spec: str) -> tuple[str, bool]:
@@ -33,10 +33,12 @@ def ordering(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc() if up else F.col(c).desc() for c, up in map(_order, order)]
 
 
-def _count_below(cuts: Sequence[float], value: Column) -> Column:
+def _slice_of(cuts: Sequence[float], value: Column) -> Column:
+    """Twice the number of cuts below the value, and one more where it equals a cut: odd slices hold one value."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < value))
+    at = F.array(*map(F.lit, cuts))
+    return 2 * F.size(F.filter(at, lambda cut: cut < value)) + F.array_contains(at, value).cast("int")
 
 
 def position_in_group(
@@ -44,22 +46,25 @@ def position_in_group(
 ) -> DataFrame:
     """Exact 1-based position of every row in its key, for numeric non-null order columns.
 
-    Slice bounds are global quantiles (at most 64 numbers per order column on
-    the driver), so a slice of any key holds about 1/64 of the table even when
-    one key owns most rows. They enter the plan as literals, which keeps the
-    slicing the same when a task is run again. ``up_to`` drops later rows before
-    they are shuffled for ranking.
+    Slice bounds are global quantiles (as many numbers per order column on the
+    driver as there are shuffle partitions, 64 at least), so a slice of any key
+    holds about that share of the table even when one key owns most rows. A
+    value that many rows have is a bound, and its rows are a slice of their own;
+    only there the next column cuts further, since only there it decides. Bounds
+    enter the plan as literals, which keeps the slicing the same when a task is
+    run again. ``up_to`` drops later rows before they are shuffled for ranking.
     """
     specs = [_order(c) for c in order]
-    shares = [i / _SLICES for i in range(1, _SLICES)]
+    n = max(_LEAST_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = [i / n for i in range(1, n)]
     bounds = df.agg(
-        *[F.percentile_approx(c, shares, 1000).alias(f"q{i}") for i, (c, _) in enumerate(specs)]
+        *[F.percentile_approx(c, shares, 16 * n).alias(f"q{i}") for i, (c, _) in enumerate(specs)]
     ).first()
-    slices = []
+    slices, tied = [], F.lit(True)
     for i, (c, up) in enumerate(specs):
-        cuts = sorted(set(bounds[f"q{i}"] or []))
-        below = _count_below(cuts, F.col(c))
-        slices.append((below if up else -below).alias(f"_s{i}"))
+        own = _slice_of(sorted(set(bounds[f"q{i}"] or [])), F.col(c))
+        slices.append(F.when(tied, own if up else -own).otherwise(0).alias(f"_s{i}"))
+        tied = tied & (own % 2 == 1)
     names = [f"_s{i}" for i in range(len(specs))]
     cut = df.select("*", *slices)
     group = [*keys, *names]
@@ -107,9 +112,10 @@ def dense_number(df: DataFrame, order: Sequence[str], out: str, start: int = 0)
 
 
 def salted_lookup(
-    df: DataFrame, lookup: DataFrame, keys: Sequence[str], salt_on: str, how: str = "left", salts: int = 16
+    df: DataFrame, lookup: DataFrame, keys: Sequence[str], salt_on: str, how: str = "left", salts: int | None = None
 ) -> DataFrame:
-    """Join many rows to one row per key with each key spread over ``salts`` tasks."""
+    """Join many rows to one row per key with each key spread over ``salts`` tasks (as many as shuffle partitions, 16 at least)."""
+    salts = salts or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

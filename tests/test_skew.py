@@ -25,6 +25,13 @@ def test_position_in_group(hot, order, up_to):
     assert rows(skew.position_in_group(hot, ["k"], order, up_to=up_to), "k", "ordinal", "pos") == rows(plain, "k", "ordinal", "pos")
 
 
+@pytest.mark.parametrize("order", [["-a", "id"], ["a", "-b", "id"]])
+def test_position_by_columns_of_many_values(spark, order):
+    made = spark.range(20000).select("id", (F.col("id") % 3 == 0).alias("k"), (F.col("id") * 7919 % 5000).alias("a"), (F.col("id") * 31 % 777).alias("b"))
+    plain = made.withColumn("pos", F.row_number().over(W.partitionBy("k").orderBy(*skew.ordering(order))).cast("long"))
+    assert rows(skew.position_in_group(made, ["k"], order), "id", "pos") == rows(plain, "id", "pos")
+
+
 def test_position_slices_split_a_hot_key(hot):
     plan = skew.position_in_group(hot, ["k"], ["ordinal"])._jdf.queryExecution().optimizedPlan().toString()
     assert "_s0" in plan and "Window" in plan
