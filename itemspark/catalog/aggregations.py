@@ -275,7 +275,7 @@ def _(d):
 
 
 @query("f23_repeated_failures", """
-WITH f AS (SELECT standard, difficulty, substr(reason, 1, 100) AS reason, count(*) AS n FROM [failure_log] GROUP BY ALL),
+WITH f AS (SELECT standard, difficulty, reason, count(*) AS n FROM [failure_log] GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY standard, difficulty ORDER BY n DESC, reason) AS rn FROM f)
 SELECT standard, difficulty, CAST(sum(n) AS BIGINT) AS n_failures, max(CASE WHEN rn = 1 THEN reason END) AS top_reason,
   max(CASE WHEN rn = 1 THEN n END) AS top_count FROM r GROUP BY standard, difficulty HAVING sum(n) >= 3""")

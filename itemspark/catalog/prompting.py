@@ -86,7 +86,7 @@ n AS (SELECT scope, standard, difficulty, type, pos, upper(rule) AS rule FROM o
 t AS (SELECT DISTINCT scope, standard, difficulty, type FROM n UNION SELECT DISTINCT scope, standard, difficulty, type FROM o WHERE scope = 'global'),
 u AS (SELECT *, 0 AS src FROM o WHERE EXISTS (SELECT 1 FROM t WHERE t.scope = o.scope AND t.standard IS NOT DISTINCT FROM o.standard AND t.difficulty IS NOT DISTINCT FROM o.difficulty AND t.type IS NOT DISTINCT FROM o.type)
   UNION ALL SELECT *, 1 FROM n),
-g AS (SELECT scope, standard, difficulty, type, substr(lower(trim(rule)), 1, 120) AS same, min(src * 1000000000 + pos) AS first_at,
+g AS (SELECT scope, standard, difficulty, type, lower(trim(rule)) AS same, min(src * 1000000000 + pos) AS first_at,
   coalesce(arg_max(rule, pos) FILTER (WHERE src = 0), arg_min(rule, pos) FILTER (WHERE src = 1)) AS rule FROM u GROUP BY ALL),
 c AS (SELECT *, row_number() OVER (PARTITION BY scope, standard, difficulty, type ORDER BY first_at DESC) AS back FROM g),
 k AS (SELECT * FROM c WHERE back <= CASE WHEN scope = 'global' THEN 10 ELSE 3 END)

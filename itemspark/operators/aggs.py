@@ -192,14 +192,14 @@ def suggested_fixes(
 
 
 def failure_summary(failures: DataFrame, reason: str = "reason") -> DataFrame:
-    """Counts by the first 60 characters of the reason, the key a failure report groups by."""
-    short = F.coalesce(F.nullif(F.substring(reason, 1, 60), F.lit("")), F.lit("unknown"))
+    """Counts by the whole reason; null and blank ones are ``unknown``."""
+    short = F.coalesce(F.nullif(reason, F.lit("")), F.lit("unknown"))
     return failures.groupBy(short.alias("short_reason")).agg(_count("n")).orderBy(F.desc("n"), "short_reason")
 
 
 def repeated_failures(failures: DataFrame, at_least: int = 3) -> DataFrame:
     """Keys failing often, with their main reason (name order breaks ties)."""
-    fine = failures.groupBy("standard", "difficulty", F.substring("reason", 1, 100).alias("reason")).agg(_count("n"))
+    fine = failures.groupBy("standard", "difficulty", "reason").agg(_count("n"))
     main = F.min(F.struct((-F.col("n")).alias("neg"), F.col("reason").alias("reason")))
     return (
         fine.groupBy("standard", "difficulty")

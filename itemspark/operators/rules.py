@@ -110,7 +110,7 @@ def _null_safe(df: DataFrame) -> DataFrame:
 def merge_rules(existing: DataFrame, new: DataFrame, global_cap: int = 10, key_cap: int = 3) -> DataFrame:
     """Add new rules to the stored ones.
 
-    Equal is equal in the first 120 letters whatever the case; the stored text
+    Equal is equal in all letters whatever the case; the stored text
     wins. A list over its cap keeps its end. Keys without new rules stay as they
     are (the global list is always gone over).
     """
@@ -121,7 +121,7 @@ def merge_rules(existing: DataFrame, new: DataFrame, global_cap: int = 10, key_c
     both = old.join(touched, _PLACE, "left_semi").withColumn("src", F.lit(0)).unionByName(
         add.withColumn("src", F.lit(1)).withColumn("rule", strip(F.col("rule")))
     )
-    both = both.withColumn("_same", F.substring(F.lower(strip(F.col("rule"))), 1, 120))
+    both = both.withColumn("_same", F.lower(strip(F.col("rule"))))
     once = both.groupBy(*_PLACE, "_same").agg(
         F.min(F.struct("src", "pos")).alias("at"), F.max_by("rule", F.when(F.col("src") == 0, F.col("pos"))).alias("_old"),
         F.min_by("rule", F.when(F.col("src") == 1, F.col("pos"))).alias("_new"),

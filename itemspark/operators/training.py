@@ -147,7 +147,6 @@ def _padded(ids: Column, max_len: int) -> tuple[Column, Column]:
 
 def encode_sft(texts: DataFrame, keys: Sequence[str], vocabulary: DataFrame, max_len: int = 2048, text: str = "text") -> DataFrame:
     """input_ids, attention_mask and labels of fixed length; labels ignore exactly the masked places."""
-    max_len = min(max_len, V.SFT_MAX_TOKENS)
     ids, mask = _padded(F.col("ids"), max_len)
     out = _ids(texts, keys, text, vocabulary, max_len).select(*keys, ids.alias("input_ids"), mask.alias("attention_mask"))
     labels = F.zip_with("input_ids", "attention_mask", lambda i, m: F.when(m == 0, F.lit(V.IGNORED_LABEL).cast("long")).otherwise(i))

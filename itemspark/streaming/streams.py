@@ -68,7 +68,7 @@ def failure_windows(stream: DataFrame, size: str = "1 hour", delay: str = "1 hou
 
 def failure_reasons(stream: DataFrame) -> DataFrame:
     """Running counts per (standard, difficulty, reason), the state behind repeated failures."""
-    return stream.groupBy("standard", "difficulty", F.substring("reason", 1, 100).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return stream.groupBy("standard", "difficulty", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def repeated_keys(reason_counts: DataFrame, at_least: int = 3) -> DataFrame:
