@@ -213,3 +213,10 @@ def test_fill_in_and_multi_select_forms(spark):
 )
 def test_residue(text, path):
     assert repair(text)[1] == path
+
+
+def test_repair_has_no_limit():
+    quoted = '{"question": "' + 'he said "go" and ' * 200 + 'left", "answer": "A"}'
+    assert json.loads(repair(quoted)[0])["question"].count('"go"') == 200
+    cut = '{"question": "q", "list": [' + ", ".join(f'"entry {k}"' for k in range(500)) + ', "half'
+    assert json.loads(repair(cut)[0])["list"][:500] == [f"entry {k}" for k in range(500)]
