@@ -299,7 +299,8 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for host, shape, facts in zip(batch["host"], batch["shape"], batch["facts"], strict=True):
             known = {f["slot"]: {"lo": int(f["lo"]), "hi": int(f["hi"]), "n": int(f["n"]), "chars": int(f["chars"])} for f in facts}
             held[host] = merge(held.get(host), _with_facts(json.loads(shape), known))
-    yield pd.DataFrame({"host": list(held), "template": [json.dumps(t, ensure_ascii=False) for t in held.values()]})
+    if held:  # a task without pages has no template
+        yield pd.DataFrame({"host": list(held), "template": [json.dumps(t, ensure_ascii=False) for t in held.values()]})
 
 
 def _join_templates(part: pd.DataFrame) -> pd.DataFrame:
@@ -335,7 +336,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 known[key] = content_slots(templates[template], tree)
             good = known[key]
             out.append("\n".join(text for node, text in blocks if slots[node] in good))
-        yield batch[["page_id", "url"]].assign(text=out)
+        yield batch[["page_id", "url"]].assign(text=pd.Series(out, index=batch.index, dtype=object))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

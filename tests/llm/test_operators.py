@@ -160,6 +160,16 @@ def test_html_text(spark):
         assert got[k] == f"Title place{k}\nTom & Ann went to place{k} <there> and wrote about all of it at length.\nSecond paragraph about number place{k}, which is rather different from the others."
 
 
+def test_html_text_with_tasks_that_get_no_page(spark):
+    rows = [(1, "http://a.example/1", "<article><p>one block</p></article>")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(20, "page_id")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.page_id, r.text) for r in got] == [(1, "one block")]
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "u1", "same"), (2, "u2", "same"), (3, None, None), (4, "", ""), (5, "u5", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"), (6, "u\r\n6", "ü€")]
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
