@@ -92,14 +92,14 @@ WITH c AS (
   SELECT 'reason' AS dimension, reason AS value, count(*) AS n FROM [failure_log] GROUP BY reason
   UNION ALL SELECT 'model', model, count(*) FROM [failure_log] GROUP BY model
   UNION ALL SELECT 'difficulty', difficulty, count(*) FROM [failure_log] GROUP BY difficulty
-  UNION ALL SELECT 'standard', standard, count(*) FROM [failure_log] GROUP BY standard),
-r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS rn FROM c)
-SELECT dimension, value, n FROM r WHERE rn <= 20""")
+  UNION ALL SELECT 'standard', standard, count(*) FROM [failure_log] GROUP BY standard)
+SELECT dimension, value, n FROM c""")
 def _(d):
     return aggs.failure_counts(d.view("failure_log"))
 
 
-_LOG_CLASS_SQL = """CASE WHEN regexp_matches(line, '(?i)429|Too Many Requests|rate.?limit') THEN 'rate_limit'
+_LOG_CLASS_SQL = """CASE WHEN regexp_matches(line, '\\[解析失败\\].*\\(第[0-9]+次') THEN 'parse_fail'
+  WHEN regexp_matches(line, '(?i)429|Too Many Requests|rate.?limit') THEN 'rate_limit'
   WHEN regexp_matches(line, '(?i)timed?\\s*out|timeout|deadline') THEN 'timeout'
   WHEN regexp_matches(line, '(?i)500|502|503|internal.?server') THEN 'server_error'
   WHEN regexp_matches(line, '(?i)content.?filter|content.?management|moderation') THEN 'content_filter'
@@ -110,14 +110,32 @@ _LOG_CLASS_SQL = """CASE WHEN regexp_matches(line, '(?i)429|Too Many Requests|ra
 
 
 @query("f9_log_error_counts", f"""
-WITH l AS (SELECT model AS file, reason AS line FROM [failure_log]),
+WITH l AS (SELECT model AS file, CASE WHEN event_id % 4 = 0 THEN concat('[解析失败] ', reason, ' (第', CAST(event_id % 5 AS VARCHAR), '次)') ELSE reason END AS line FROM [failure_log]),
 c AS (SELECT file, {_LOG_CLASS_SQL} AS error_class FROM l)
 SELECT CASE WHEN grouping(file) = 1 THEN 'by_class' WHEN grouping(error_class) = 1 THEN 'by_file' ELSE 'by_file_class' END AS level,
   file, error_class, count(*) AS n
 FROM c WHERE error_class IS NOT NULL GROUP BY GROUPING SETS ((file, error_class), (error_class), (file))""")
 def _(d):
-    lines = d.view("failure_log").select(F.col("model").alias("file"), F.col("reason").alias("line"))
-    return aggs.log_error_counts(lines)
+    return aggs.log_error_counts(_log_lines(d))
+
+
+def _log_lines(d):
+    """Every fourth reason is a line of a failed parse as logs write it."""
+    failed = F.concat(F.lit("[解析失败] "), "reason", F.lit(" (第"), (F.col("event_id") % 5).cast("string"), F.lit("次)"))
+    return d.view("failure_log").select(F.col("model").alias("file"), F.when(F.col("event_id") % 4 == 0, failed).otherwise(F.col("reason")).alias("line"))
+
+
+@query("f10_log_class_fixes", f"""
+WITH l AS (SELECT CASE WHEN event_id % 4 = 0 THEN concat('[解析失败] ', reason, ' (第', CAST(event_id % 5 AS VARCHAR), '次)') ELSE reason END AS line FROM [failure_log]),
+c AS (SELECT {_LOG_CLASS_SQL} AS error_class FROM l)
+SELECT error_class, count(*) AS n, CASE error_class WHEN 'missing_explanation' THEN 'explanation aliases are already mapped; nothing to change'
+  WHEN 'bad_options' THEN 'option keys are already normalised; retry, the model gave fewer than four options' WHEN 'rate_limit' THEN 'lower the worker count or widen the call interval'
+  WHEN 'timeout' THEN 'raise the time-out or use a faster model' WHEN 'content_filter' THEN 'the model refused; change the prompt or the model'
+  WHEN 'parse_fail' THEN 'look at raw_preview for truncation or text around the JSON' END AS fix
+FROM c WHERE error_class IN ('missing_explanation', 'bad_options', 'rate_limit', 'timeout', 'content_filter', 'parse_fail') GROUP BY error_class""")
+def _(d):
+    counts = aggs.log_error_counts(_log_lines(d)).filter("level = 'by_class'")
+    return aggs.log_class_fixes(counts)
 
 
 @query("f10_suggested_fixes", """
@@ -245,20 +263,20 @@ def _(d):
 
 
 @query("f21_cycle_report", """
-WITH r AS (SELECT grade, CAST(floor((round - 1) / 6) AS INT) + 1 AS cycle, (round - 1) % 6 + 1 AS inner_round, pass_rate FROM [rounds] WHERE model = 'm0'),
-f AS (SELECT grade, cycle, arg_min(pass_rate, inner_round) AS first_rate, max(inner_round) - 1 AS repairs FROM r GROUP BY grade, cycle)
-SELECT grade, max(CASE WHEN cycle = 1 THEN first_rate END) AS c1, max(CASE WHEN cycle = 2 THEN first_rate END) AS c2,
-  max(CASE WHEN cycle = 3 THEN first_rate END) AS c3, max(CASE WHEN cycle = 4 THEN first_rate END) AS c4,
-  max(CASE WHEN cycle = 5 THEN first_rate END) AS c5,
+WITH r AS (SELECT model, grade, CAST(floor((round - 1) / 6) AS INT) + 1 AS cycle, (round - 1) % 6 + 1 AS inner_round, pass_rate FROM [rounds]),
+f AS (SELECT model, grade, cycle, arg_min(pass_rate, inner_round) AS first_rate, max(inner_round) - 1 AS repairs FROM r GROUP BY model, grade, cycle)
+SELECT model, grade, string_agg(concat(CAST(cycle AS VARCHAR), ':', coalesce(CAST(CAST(round(first_rate * 10) AS BIGINT) AS VARCHAR), '-')), ' ' ORDER BY cycle) AS rates,
   round(CAST(sum(CAST(first_rate AS DECIMAL(18,6))) AS DOUBLE) / count(first_rate), 1) AS mean_rate,
   round(arg_max(first_rate, cycle) - arg_min(first_rate, cycle), 1) AS trend,
-  CAST(sum(repairs) AS BIGINT) AS repair_rounds, count(*) AS n_cycles FROM f GROUP BY grade""")
+  CAST(sum(repairs) AS BIGINT) AS repair_rounds, count(*) AS n_cycles FROM f GROUP BY model, grade""")
 def _(d):
-    cycles = d.view("rounds").filter("model = 'm0'").select(
-        "grade", F.expr("cast(floor((round - 1) / 6) as int) + 1").alias("cycle"),
+    cycles = d.view("rounds").select(
+        "model", "grade", F.expr("cast(floor((round - 1) / 6) as int) + 1").alias("cycle"),
         F.expr("(round - 1) % 6 + 1").alias("inner_round"), "pass_rate",
     )
-    return aggs.cycle_report(cycles)
+    rate = lambda x: F.coalesce(F.round(x["first_rate"] * 10).cast("long").cast("string"), F.lit("-"))
+    shown = F.array_join(F.transform("first_rates", lambda x: F.concat(x["cycle"].cast("string"), F.lit(":"), rate(x))), " ")
+    return aggs.cycle_report(cycles, by=["model", "grade"]).withColumn("rates", shown).drop("first_rates")
 
 
 @query("f22_plan_coverage", """

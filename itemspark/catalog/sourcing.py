@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from itemspark.catalog.base import query
 from itemspark.catalog.validation import item_rows
-from itemspark.operators import training
+from itemspark.operators import aggs, training
 from itemspark.sources import documents, json_text, sinks
 
 
@@ -158,6 +158,33 @@ def _(d):
     return documents.result_dims(rows).select("ordinal", "dim", "score", "reasoning")
 
 
+@query("a10_nested_scores", """
+SELECT ordinal, CASE WHEN score IS NOT NULL THEN CASE WHEN ordinal % 2 = 0 THEN score ELSE (score + score / 2) / 2 END END AS score FROM [eval_rows]""")
+def _(d):
+    # no listed score: even rows have one evaluation under the rubric's key, odd rows two right under their ids
+    overall = lambda s: F.struct(F.struct(s.alias("score")).alias("overall"))
+    nested = F.to_json(F.struct(F.struct(F.struct(overall(F.col("score")).alias("marks")).alias("e1")).alias("evaluations")))
+    flat = F.to_json(F.struct(F.struct(overall(F.col("score")).alias("e1"), overall(F.col("score") / 2).alias("e2")).alias("evaluations")))
+    result = F.when(F.col("ordinal") % 2 == 0, nested).otherwise(flat)
+    doc = F.concat(F.lit('{"scores":[null],"results":['), result, F.lit("]}"))
+    files = d.view("eval_rows").select("ordinal", doc.alias("value"))
+    return documents.eval_file_rows(files, rubric_key="marks").select("ordinal", "score")
+
+
+@query("a10_low_dimensions", """
+SELECT ordinal, 'clarity' AS dim, score AS item_score, score - 0.25 AS score FROM [eval_rows] WHERE score < 0.85 AND score - 0.25 < 0.85""")
+def _(d):
+    rows = documents.eval_file_rows(eval_files(d)).withColumn("ordinal", F.col("file_id") * 50 + F.col("position"))
+    return aggs.dimension_failures(documents.result_dims(rows)).select("ordinal", "dim", "item_score", "score")
+
+
+@query("a10_broken_files", """
+SELECT doc_id FROM documents WHERE doc_id % 3 <> 0""")
+def _(d):
+    text = F.when(F.col("doc_id") % 3 == 0, F.lit('{"scores":[0.5]}')).when(F.col("doc_id") % 3 == 1, F.lit('{"scores":[0.5')).otherwise(F.col("text"))
+    return documents.broken_eval_files(d.table("documents").select("doc_id", text.alias("value"))).select("doc_id")
+
+
 # the stored lists are the ones a merge leaves: distinct rules, the last 10 (global) or 3 of a key
 @query("a11_rules_round_trip", """
 WITH k AS (SELECT scope, CASE WHEN scope = 'global' THEN NULL ELSE standard END AS standard, CASE WHEN scope = 'standard_difficulty' THEN difficulty END AS difficulty,

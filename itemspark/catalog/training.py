@@ -6,6 +6,7 @@ from itemspark.catalog.base import query
 from itemspark.catalog.sourcing import chats, pairs
 from itemspark.catalog.validation import _REJECT, _WS, item_rows
 from itemspark.functions import chat, classes, curriculum, text
+from itemspark.functions import fixed_values as V
 from itemspark.operators import aggs, profile, score, training, validate
 from itemspark.skew import settle
 
@@ -109,12 +110,24 @@ l AS (SELECT doc_id, r, lower(r) AS x FROM t),
 c AS (SELECT doc_id, r, concat_ws('|', CASE WHEN regexp_matches(x, 'distract|option|implaus|answer choice') THEN 'options' END, CASE WHEN regexp_matches(x, 'explanation|rationale') THEN 'explanation' END,
   CASE WHEN regexp_matches(x, 'alignment|standard|curriculum|does not align') THEN 'alignment' END, CASE WHEN regexp_matches(x, 'unclear|confus|ambig|grammar|ungrammat') THEN 'wording' END,
   CASE WHEN regexp_matches(x, 'mislabel|difficulty level|too easy|too hard') THEN 'difficulty' END, CASE WHEN regexp_matches(x, 'missing|lack|absent|do not exist') THEN 'missing' END) AS k FROM l)
-SELECT doc_id, CASE WHEN k <> '' THEN k ELSE substr(r, 1, 40) END AS causes FROM c""")
+SELECT doc_id, CASE WHEN k <> '' THEN k ELSE r END AS causes FROM c""")
 def _(d):
     head = F.when(F.col("doc_id") % 3 == 0, "The distractors are implausible. ").when(F.col("doc_id") % 3 == 1, "Explanation lacks detail. ").otherwise("")
     return d.table("documents").select("doc_id", F.array_join(classes.low_score_causes(F.concat(head, "text")), "|").alias("causes"))
 
 
+@query("b13_score_remarks", """
+SELECT event_id, CASE WHEN event_id % 2 = 1 THEN reason
+  WHEN contains(lower(reason), 'timeout') OR contains(lower(reason), 'timed out') THEN 'timeout' WHEN contains(reason, '429') THEN 'rate_limit'
+  WHEN regexp_matches(reason, '500|502|503|504') THEN 'server_error' ELSE reason END AS remark FROM [failure_log] WHERE NOT regexp_matches(lower(reason),
+  'distract|option|implaus|answer choice|explanation|rationale|alignment|standard|curriculum|unclear|confus|ambig|grammar|mislabel|difficulty level|too easy|too hard|missing|lack|absent|do not exist')""")
+def _(d):
+    status = F.when(F.col("event_id") % 2 == 0, "error").otherwise("ok")
+    got = d.view("failure_log").select("event_id", "reason", F.array_join(classes.score_remarks(status, F.col("reason"), F.col("reason")), "|").alias("remark"))
+    named = F.size(F.filter(F.array(*[F.contains(F.lower("reason"), F.lit(k)) for _, keys in V.LOW_SCORE_CAUSES for k in keys]), lambda x: x)) > 0
+    return got.filter(~named).select("event_id", "remark")
+
+
 @query("b15_money", """
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'CNY' WHEN 2 THEN 'USD' END AS currency,
   CASE WHEN o_orderkey % 4 < 2 THEN CAST(round(o_totalprice, 2) AS DECIMAL(18,6)) END AS amount FROM orders""")

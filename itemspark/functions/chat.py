@@ -30,7 +30,7 @@ def last_content(messages: Column, role: str) -> Column:
     return strip(F.try_element_at(own, F.lit(-1))["content"])
 
 
-def prompt_user(prompt: Column, pick: str = "last", max_chars: int | None = 2000) -> Column:
+def prompt_user(prompt: Column, pick: str = "last", max_chars: int | None = None) -> Column:
     """The last (or first) user message of a prompt, else all contents in one line."""
     users = F.filter(prompt, lambda m: (m["role"] == "user"))
     chosen = F.try_element_at(users, F.lit(-1 if pick == "last" else 1))["content"]

@@ -44,14 +44,19 @@ def is_server_error(*parts: Column) -> Column:
 
 
 def low_score_causes(reasoning: Column) -> Column:
-    """All matching causes; the opening words when none matches."""
+    """All matching causes; the whole reasoning when none matches."""
     low = F.lower(reasoning)
     hits = F.filter(
         F.array(*[F.when(has_any(low, keys), cause) for cause, keys in V.LOW_SCORE_CAUSES]), lambda c: c.isNotNull()
     )
-    return F.when(F.size(hits) > 0, hits).when(reasoning != "", F.array(F.substring(reasoning, 1, 40))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.when(F.size(hits) > 0, hits).when(reasoning != "", F.array(reasoning)).otherwise(F.array().cast("array<string>"))
+
+
+def score_remarks(status: Column, message: Column, reasoning: Column) -> Column:
+    """Why a row scored low: what broke where scoring failed (else its message), otherwise the causes named in the reasoning."""
+    told = F.coalesce(message, F.lit(""))
+    broke = first_match(told, V.SCORING_ERRORS)
+    return F.when(status == "error", F.array(F.coalesce(broke, told))).otherwise(low_score_causes(F.coalesce(reasoning, F.lit(""))))
 
 
 def currency(text: Column) -> Column:
@@ -60,7 +65,7 @@ def currency(text: Column) -> Column:
 
 def amount(text: Column) -> Column:
     """Number after the currency sign; null when there is no sign or no number."""
-    return F.when(currency(text).isNotNull(), F.substring(text, 2, 64).try_cast("decimal(18,6)"))
+    return F.when(currency(text).isNotNull(), F.substring(text, 2, 2147483647).try_cast("decimal(18,6)"))
 
 
 def price_table(spark: SparkSession) -> DataFrame:

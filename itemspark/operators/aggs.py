@@ -152,13 +152,13 @@ def approx_length_summary(df: DataFrame, role: str = "role", length: str = "n_to
 
 # ---- failures ---------------------------------------------------------------
 def failure_counts(
-    df: DataFrame, dims: Sequence[str] = ("reason", "model", "difficulty", "standard"), top: int = 20
+    df: DataFrame, dims: Sequence[str] = ("reason", "model", "difficulty", "standard"), top: int | None = None
 ) -> DataFrame:
-    """The most frequent values of each dimension, name order breaking ties."""
+    """Counts of all values of each dimension, or of the ``top`` most frequent, name order breaking ties."""
     fine = df.select(*[F.coalesce(d, F.lit("?")).alias(d) for d in dims]).groupBy(*dims).agg(_count("n"))
     entries = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims]))
     counts = fine.select(entries.alias("e"), "n").groupBy("e.dimension", "e.value").agg(F.sum("n").alias("n"))
-    return skew.top_rows(counts, ["dimension"], ["-n", "value"], top)
+    return counts if top is None else skew.top_rows(counts, ["dimension"], ["-n", "value"], top)
 
 
 def log_error_counts(lines: DataFrame, file: str = "file", text: str = "line") -> DataFrame:
@@ -191,6 +191,14 @@ def suggested_fixes(
     return counts.withColumn("fix", fix).filter("fix is not null")
 
 
+def log_class_fixes(class_counts: DataFrame, fixes: Sequence[tuple[str, str]] = tuple(V.KNOWN_FIXES)) -> DataFrame:
+    """Known fixes for the error classes found in logs; ``class_counts`` has error_class and n."""
+    fix = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, advice in fixes:
+        fix = fix.when(F.col("error_class") == name, advice)
+    return class_counts.select("error_class", "n", fix.alias("fix")).filter("fix is not null")
+
+
 def failure_summary(failures: DataFrame, reason: str = "reason") -> DataFrame:
     """Counts by the whole reason; null and blank ones are ``unknown``."""
     short = F.coalesce(F.nullif(reason, F.lit("")), F.lit("unknown"))
@@ -363,19 +371,19 @@ def multi_model_summary(rounds: DataFrame, target: float, by: Sequence[str] = ("
     )
 
 
-def cycle_report(cycles: DataFrame, n_cycles: int = 5) -> DataFrame:
-    """First-round pass rate per grade and cycle, their mean, the trend, and repair rounds."""
-    first = cycles.groupBy("grade", "cycle").agg(
+def cycle_report(cycles: DataFrame, by: Sequence[str] = ("grade",)) -> DataFrame:
+    """First-round pass rate of all cycles in order (``first_rates``), their mean, the trend, and repair rounds."""
+    first = cycles.groupBy(*by, "cycle").agg(
         F.min_by("pass_rate", "inner_round").alias("first_rate"), (F.max("inner_round") - 1).alias("repairs")
     )
-    out = first.groupBy("grade").agg(
-        *[F.max(F.when(F.col("cycle") == c, F.col("first_rate"))).alias(f"c{c}") for c in range(1, n_cycles + 1)],
+    out = first.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("cycle", "first_rate"))).alias("first_rates"),
         F.count("first_rate").alias("_n"), _exact_sum(F.col("first_rate")).alias("_s"),
         F.min_by("first_rate", "cycle").alias("_f"), F.max_by("first_rate", "cycle").alias("_l"),
         F.sum("repairs").alias("repair_rounds"), _count("n_cycles"),
     )
     return out.select(
-        "grade", *[f"c{c}" for c in range(1, n_cycles + 1)], mean("_s", "_n", 1).alias("mean_rate"),
+        *by, "first_rates", mean("_s", "_n", 1).alias("mean_rate"),
         F.round(F.col("_l") - F.col("_f"), 1).alias("trend"), "repair_rounds", "n_cycles",
     )
 

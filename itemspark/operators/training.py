@@ -99,7 +99,7 @@ def candidates_from_chats(chats: DataFrame, key: str) -> DataFrame:
     )
 
 
-def candidates_from_pairs(pairs: DataFrame, key: str, max_chars: int | None = 2000) -> DataFrame:
+def candidates_from_pairs(pairs: DataFrame, key: str, max_chars: int | None = None) -> DataFrame:
     usable = pairs.filter("prompt is not null and chosen is not null")
     return example_candidates(
         usable, key, F.col("chosen.content"), chat.prompt_user(F.col("prompt"), "last", max_chars),
@@ -208,7 +208,8 @@ def length_buckets(df: DataFrame, text: str = "text", width: int = 64) -> DataFr
     """Rows of similar length side by side: range partitions sorted by estimated tokens."""
     out = df.withColumn("n_tokens", est_tokens(F.coalesce(text, F.lit(""))))
     out = out.withColumn("bucket", F.floor(F.col("n_tokens") / width))
-    return out.repartitionByRange("n_tokens").sortWithinPartitions("n_tokens")
+    # the hash divides the rows of a frequent length among range partitions
+    return out.repartitionByRange("n_tokens", F.xxhash64(text)).sortWithinPartitions("n_tokens")
 
 
 def padding_report(bucketed: DataFrame) -> DataFrame:

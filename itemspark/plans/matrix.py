@@ -9,10 +9,10 @@ from itemspark.operators import aggs, ranks
 from itemspark.sources import documents
 
 
-def read_evaluations(spark: SparkSession, path: str, subject: str = "ELA") -> DataFrame:
+def read_evaluations(spark: SparkSession, path: str, subject: str = "ELA", rubric_key: str = "rubric") -> DataFrame:
     """Scored rows of all result files of a subject, with file, model and grade."""
     files = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_name"))
-    return documents.eval_file_rows(documents.with_file_keys(files, "file", subject))
+    return documents.eval_file_rows(documents.with_file_keys(files, "file", subject), rubric_key=rubric_key)
 
 
 def summarize_matrix(rows: DataFrame) -> dict[str, DataFrame]:

@@ -78,25 +78,50 @@ _EVAL_FILE = (
 
 
 def eval_file_rows(files: DataFrame, text: str = "value", rubric_key: str = "rubric") -> DataFrame:
-    """Rows of evaluation files: the parallel lists zipped by position, with the raw result."""
+    """Rows of evaluation files: the parallel lists zipped by position, with the raw result.
+
+    A row without a listed score takes the one of its details, of the result, or
+    the mean of the result's evaluations. Files that give no row are found by
+    ``broken_eval_files``.
+    """
     rest = [c for c in files.columns if c != text]
     doc = files.select(*rest, F.from_json(text, _EVAL_FILE).alias("j"))
-    n = F.greatest(*[F.coalesce(F.size(f"j.{c}"), F.lit(0)) for c in ("scores", "results", "evaluation_details")])
+    n = _list_length("j")
     at = doc.select(*rest, "j", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("position"))
     row = at.select(
         *rest, "position", F.get("j.scores", F.col("position")).alias("list_score"),
         F.get("j.results", F.col("position")).alias("result"), F.get("j.evaluation_details", F.col("position")).alias("d"),
     )
     detail = [F.col(f"d.{c}").alias(c) for c in ("standard", "difficulty", "type", "status", "message", "elapsed_s")]
-    nested = F.try_variant_get("result", "$.overall_score", "double")
-    return row.select(*rest, "position", *detail, F.coalesce("list_score", "d.score", nested).alias("score"), "result")
+    stated = F.try_variant_get("result", "$.overall_score", "double")
+    return row.select(*rest, "position", *detail, F.coalesce("list_score", "d.score", stated, nested_score(F.col("result"), rubric_key)).alias("score"), "result")
+
+
+def _list_length(doc: str) -> Column:
+    return F.greatest(*[F.coalesce(F.size(f"{doc}.{c}"), F.lit(0)) for c in ("scores", "results", "evaluation_details")])
+
+
+def broken_eval_files(files: DataFrame, text: str = "value") -> DataFrame:
+    """Files that give no row: no JSON, or none of the lists has an entry. All columns are kept."""
+    read = files.withColumn("_j", F.from_json(text, _EVAL_FILE))
+    return read.filter(F.col("_j").isNull() | (_list_length("_j") == 0)).drop("_j")
+
+
+def nested_score(result: Column, rubric_key: str = "rubric") -> Column:
+    """Mean overall score of a result's evaluations that have one, each under ``rubric_key`` or right under its id."""
+    evaluations = F.map_values(F.try_variant_get(result, "$.evaluations", "map<string,variant>"))
+    one = lambda e: F.coalesce(*[F.try_variant_get(e, p, "double") for p in (f"$.{rubric_key}.overall.score", "$.overall.score")])
+    found = F.filter(F.transform(evaluations, one), lambda s: s.isNotNull())
+    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, s: a + s) / F.size(found))
 
 
 def result_dims(rows: DataFrame, rubric_key: str = "rubric", result: str = "result") -> DataFrame:
     """One row per rubric dimension and evaluation of a result.
 
     An evaluation holds its dimensions under ``rubric_key``, or right under its id.
+    A ``score`` of the row itself becomes ``item_score``.
     """
+    rows = rows.withColumnRenamed("score", "item_score")
     rest = [c for c in rows.columns if c != result]
     evaluations = F.map_entries(F.try_variant_get(result, "$.evaluations", "map<string,variant>"))
     ev = rows.select(*rest, F.posexplode(evaluations).alias("eval_pos", "_e"))

@@ -66,7 +66,7 @@ def classify_format(df: DataFrame, out: str = "format") -> DataFrame:
 
 def cap_per_file(df: DataFrame, n: int = 50_000, file: str = "_file", ordinal: str = "ordinal") -> DataFrame:
     """The first ``n`` rows of every file, also when one file holds most rows."""
-    return skew.position_in_group(df, [file], [ordinal], out="_pos", up_to=n).drop("_pos")
+    return skew.top_rows(df, [file], [ordinal], n)
 
 
 def sample_per_file(
@@ -74,4 +74,4 @@ def sample_per_file(
 ) -> DataFrame:
     """Exactly ``n`` rows (or all) of every file, by a seeded order of the row key."""
     drawn = df.withColumn("_draw", seeded_order(seed, *[F.col(k) for k in key]))
-    return skew.position_in_group(drawn, [file], ["_draw"], out="_pos", up_to=n).drop("_pos", "_draw")
+    return skew.top_rows(drawn, [file], ["_draw", *key], n).drop("_draw")
