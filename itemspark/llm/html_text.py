@@ -43,16 +43,26 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "td", "th",
+    "math", "semantics", "annotation", "annotation-xml", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover",
+    "munderover", "mmultiscripts", "mtable", "mtr", "mtd", "mstyle", "mpadded", "menclose", "mfenced",
 }
 _FURNITURE = {
-    "head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "input", "svg", "math", "canvas", "object", "audio", "video", "map",
-    "ins", "fieldset", "legend",
+    "head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "input", "svg", "canvas", "audio", "video", "map",
 } | _RAW
-_FURNITURE_WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "comentarios", "cookie",
-    "cookies", "consent", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promoted",
-    "promotion", "related", "reply", "replies", "respond", "share", "sharing", "sidebar", "sidebars", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
+#: Comment threads are furniture however long they are; the other words are not where they name most of a page.
+_THREAD_WORDS = {"comment", "comments", "comentarios", "disqus", "reply", "replies", "respond"}
+_FURNITURE_WORDS = _THREAD_WORDS | {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "banner", "breadcrumb", "breadcrumbs", "cookie",
+    "cookies", "consent", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promoted",
+    "promotion", "related", "share", "sharing", "sidebar", "sidebars", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
 }
+#: Words that may stand beside those in one name ("site-header", "related-posts"); "has-sidebar" or "notice-period" name something else.
+_BESIDE = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "container", "global", "google", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "mobile", "outer",
+    "page", "post", "posts", "primary", "right", "secondary", "section", "site", "slot", "sticky", "text", "thread", "top", "unit", "wrap", "wrapper",
+}
+#: Share of a page's text from which an element is not furniture by its name alone.
+MOST = 0.5
 _FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 #: An open element of these ends when one of the others begins.
 _CLOSES = {
@@ -65,27 +75,51 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\
 _WORD = re.compile(r"[a-z]+")
 
 
-def _label(tag: str, rest: str) -> tuple[str, bool]:
-    """Label of an element, and whether it is furniture of the page."""
-    furniture, names = tag in _FURNITURE, []
+def _named(name: str, words: set[str]) -> bool:
+    """Whether one class or id names furniture: one of its words does, and the others only say where it stands."""
+    for split in (name, re.sub(r"[A-Z]", lambda c: " " + c[0], name)):
+        parts = set(_WORD.findall(split.lower()))
+        if not parts.isdisjoint(words) and parts <= _FURNITURE_WORDS | _BESIDE:
+            return True
+    return False
+
+
+def _label(tag: str, rest: str) -> tuple[str, bool, bool]:
+    """Label of an element, whether it is furniture of the page, and whether its names alone say so."""
+    furniture, named, names = tag in _FURNITURE, False, []
     if rest and not rest.isspace():
         for m in _ATTRIBUTE.finditer(rest):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                split = re.sub(r"[A-Z]", lambda c: " " + c[0], m[2] or m[3] or m[4] or "").lower()
-                furniture |= tag not in ("html", "body", "article", "main") and not _FURNITURE_WORDS.isdisjoint(_WORD.findall(value) + _WORD.findall(split))
+                if tag not in ("html", "body", "article", "main"):
+                    tokens = (m[2] or m[3] or m[4] or "").split()
+                    named |= any(_named(t, _FURNITURE_WORDS) for t in tokens)
+                    furniture |= any(_named(t, _THREAD_WORDS) for t in tokens)
                 names += re.sub(r"\d+", "", value).split()
             elif name == "role":
                 furniture |= value in _FURNITURE_ROLES
                 names += [f"role={value}"]
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 furniture = True
-    return ".".join([tag, *sorted(set(names))]), furniture
+    return ".".join([tag, *sorted(set(names))]), furniture, named
+
+
+def _without_large(nodes: list[tuple[int, str, bool]], blocks: list[tuple[int, str]], named: set[int]) -> list[tuple[int, str, bool]]:
+    """The nodes, where those that are furniture by name only are none if they hold most of the page's text."""
+    chars = [0] * len(nodes)
+    for node, text in blocks:
+        chars[node] += len(text)
+    for i in range(len(nodes) - 1, 0, -1):
+        if nodes[i][2] and i not in named:
+            chars[i] = 0
+        chars[nodes[i][0]] += chars[i]
+    return [(p, label, f and not (i in named and chars[i] and chars[i] >= MOST * chars[0])) for i, (p, label, f) in enumerate(nodes)]
 
 
 def read_page(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, str]]]:
     """Nodes (parent, label, furniture) and blocks (node, text) of a page, both in page order."""
     nodes, blocks, held = [(-1, "", False)], [], []
+    by_name: set[int] = set()
     stack: list[tuple[str, int]] = [("", 0)]
 
     def flush() -> None:
@@ -119,8 +153,8 @@ def read_page(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, s
             elif tag in ("td", "th"):
                 held.append(" ")
             continue
-        label, furniture = _label(tag, m[3])
-        inline = tag in _INLINE and not furniture
+        label, furniture, named = _label(tag, m[3])
+        inline = tag in _INLINE and not furniture and not named
         if not inline:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in ("article", "section", "div", "table", "ul", "ol", "dl", "body") and tag not in ("article", "section", "div"):
@@ -141,10 +175,12 @@ def read_page(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, s
         flush()
         if tag in _VOID:
             continue
-        nodes.append((stack[-1][1], label, furniture))
+        if named and not furniture:
+            by_name.add(len(nodes))
+        nodes.append((stack[-1][1], label, furniture or named))
         stack.append((tag, len(nodes) - 1))
     flush()
-    return nodes, blocks
+    return _without_large(nodes, blocks, by_name) if by_name else nodes, blocks
 
 
 def page_tree(nodes: list[tuple[int, str, bool]], blocks: list[tuple[int, str]]) -> tuple[list, list[int], list[str]]:
