@@ -1,41 +1,49 @@
 """Main text of web pages by wrapper induction.
 
 Pages become small trees of labels (tag, class and id without digits; siblings
-of one label are one node, inline markup is none). Trees of one host are aligned
-by simple tree matching into the host's template, first per task, then per host.
-A node whose text is the same on all of many pages is template; one whose text
-varies is a slot. The wrapper keeps the slots below the article or, where pages
-have none, below the lowest node with most of the varying text; menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts and styles never
-count as slots.
-
-Cases: null or empty html and pages without such slots have an empty text; a
-null URL, or one without a host, belongs to the host ''; a host of few pages has
-no constant nodes; repeated pages are extracted alike; an empty table gives no
-rows; other columns are not read. Unclosed and wrongly nested tags are closed as
-browsers do for the common cases (paragraphs, list items, table parts).
+of one label are one node, inline markup is none). As trees are matched from the
+root and siblings differ in label, a node of one page is a node of another when
+the labels on the way to it are the same; Spark counts the nodes of a host by
+that way. A block of text that is the same on most of many pages is template, any
+other one varies. The content of a page is what varies below its article or main
+element or, where it has none, below the lowest box that holds most of the
+varying text of pages with its nodes and no less than half of its own. So every
+layout of a host has its own content node. Menus, headers, footers, sidebars,
+notices, adverts, forms, comments, scripts and styles are never content.
+
+Copies of a page count once.
+
+Cases: null or empty html and pages without varying text have an empty text; a
+null URL, or one without a host, belongs to the host ''; a host of fewer than
+eight different pages has no template text; repeated pages are extracted alike;
+an empty table gives no rows; other columns are not read. Unclosed and wrongly
+nested tags are closed as browsers do for the common cases (paragraphs, list
+items, table parts).
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemspark.session import ship
+from itemspark.session import durable, ship
 
 ship(__name__)
 
-#: A node is constant when its text is the same on so many pages of a host, and on all that have it.
+#: A block is template when it is the same on so many different pages of a host, and on such a share of those that have its node.
 CONSTANT_PAGES = 8
-#: Share of a host's varying text that the content node holds where there is no article.
-MAIN_SHARE = 0.8
+CONSTANT_SHARE = 1.0
+#: Share of the varying text that the content node holds where there is no article, and share of the page's own.
+MAIN_SHARE, OWN_SHARE = 0.8, 0.5
+#: Elements that can be the content node; lists and tables are part of a text.
+_BOXES = {"html", "body", "div", "section", "center"}
 
 #: Elements of HTML by how they are read.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -183,134 +191,77 @@ def read_page(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, s
     return _without_large(nodes, blocks, by_name) if by_name else nodes, blocks
 
 
-def page_tree(nodes: list[tuple[int, str, bool]], blocks: list[tuple[int, str]]) -> tuple[list, list[int], list[str]]:
-    """The tree of labels ``[label, furniture, slot, children]``, the slot of every node, and the texts of slots.
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
-    Siblings of one label are one node; what is below furniture is left out.
+
+def page_tree(nodes: list[tuple[int, str, bool]]) -> tuple[list[int], list[int], list[str], list[int]]:
+    """The slot of every node (-1 in furniture), and per slot its parent, label and the hash of the labels on the way to it.
+
+    Siblings of one label are one slot; parents come before their children.
     """
-    root: list = ["", False, 0, []]
-    place: list[list | None] = [root]
-    count, slots = 1, [0]
+    slots, parents, labels, paths = [0], [-1], [""], [_hash("")]
+    known: dict[tuple[int, str], int] = {}
     for parent, label, furniture in nodes[1:]:
-        above = place[parent]
-        if above is None or above[1]:
-            place.append(None)
+        above = slots[parent]
+        if above < 0 or furniture:
             slots.append(-1)
             continue
-        mine = next((c for c in above[3] if c[0] == label and c[1] == furniture), None)
-        if mine is None:
-            mine = [label, furniture, count, []]
-            count += 1
-            above[3].append(mine)
-        place.append(mine)
-        slots.append(mine[2])
-    texts = [""] * count
+        mine = known.setdefault((above, label), len(parents))
+        if mine == len(parents):
+            parents.append(above)
+            labels.append(label)
+            paths.append(_hash(f"{paths[above]} {label}"))
+        slots.append(mine)
+    return slots, parents, labels, paths
+
+
+def _is(label: str, name: str) -> bool:
+    parts = label.split(".")
+    return parts[0] == name or f"role={name}" in parts
+
+
+def content_slots(parents: list[int], labels: list[str], own: list[int], usual: list[float]) -> list[bool]:
+    """Which slots of a page are content; ``own`` is the varying text in each, ``usual`` that of pages having it."""
+    own, usual = list(own), list(usual)
+    for i in range(len(parents) - 1, 0, -1):
+        own[parents[i]] += own[i]
+        usual[parents[i]] += usual[i]
+    tops: set[int] = set()
+    for name in ("article", "main"):
+        tops = tops or {i for i, label in enumerate(labels) if own[i] and _is(label, name)}
+    if not tops:
+        at, deeper, inner = 0, 0, set(parents)
+        while deeper is not None:
+            at = deeper
+            deeper = next(
+                (i for i in range(at + 1, len(parents)) if parents[i] == at and i in inner and labels[i].split(".")[0] in _BOXES
+                 and own[i] and own[i] >= OWN_SHARE * own[0] and usual[i] >= MAIN_SHARE * usual[0]),
+                None,
+            )
+        tops = {at}
+    inside: list[bool] = []
+    for i, parent in enumerate(parents):
+        inside.append(i in tops or (parent >= 0 and inside[parent]))
+    return inside
+
+
+def page_text(page: str, facts: dict[int, tuple[float, set[int]]]) -> str:
+    """The content of a page, by the facts of its host: per way the usual varying text and the template blocks."""
+    nodes, blocks = read_page(page)
+    slots, parents, labels, paths = page_tree(nodes)
+    varying, own = [], [0] * len(parents)
     for node, text in blocks:
-        if slots[node] >= 0:
-            texts[slots[node]] += text + "\n"
-    return root, slots, texts
-
-
-def match_size(a: list, b: list) -> int:
-    """Simple tree matching: the most pairs of nodes of equal label that keep order and ancestry."""
-    if a[0] != b[0]:
-        return 0
-    best = [[0] * (len(b[3]) + 1) for _ in range(len(a[3]) + 1)]
-    for i, x in enumerate(a[3]):
-        for j, y in enumerate(b[3]):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match_size(x, y))
-    return best[-1][-1] + 1
-
-
-def align(a: list, b: list) -> list[tuple[list | None, list | None]]:
-    """Children of two matched nodes in one order; matched ones are pairs."""
-    xs, ys = a[3], b[3]
-    weight = [[match_size(x, y) for y in ys] for x in xs]
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i in range(len(xs) - 1, -1, -1):
-        for j in range(len(ys) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], weight[i][j] + best[i + 1][j + 1] if weight[i][j] else 0)
-    out, i, j = [], 0, 0
-    while i < len(xs) or j < len(ys):
-        if i < len(xs) and j < len(ys) and weight[i][j] and best[i][j] == weight[i][j] + best[i + 1][j + 1]:
-            out.append((xs[i], ys[j]))
-            i, j = i + 1, j + 1
-        elif i < len(xs) and (j == len(ys) or best[i][j] == best[i + 1][j]):
-            out.append((xs[i], None))
-            i += 1
-        else:
-            out.append((None, ys[j]))
-            j += 1
-    return out
-
-
-def _sum(a: dict, b: dict) -> dict:
-    return {"lo": min(a["lo"], b["lo"]), "hi": max(a["hi"], b["hi"]), "n": a["n"] + b["n"], "chars": a["chars"] + b["chars"]}
-
-
-def merge(a: list | None, b: list | None) -> list:
-    """Two templates (``[label, furniture, facts, children]``) as one."""
-    if a is None or b is None:
-        return a or b
-    return [a[0], a[1] or b[1], _sum(a[2], b[2]), [merge(x, y) for x, y in align(a, b)]]
-
-
-_NO_FACTS = {"lo": 1 << 62, "hi": -1, "n": 0, "chars": 0}
-
-
-def _with_facts(tree: list, facts: dict[int, dict]) -> list:
-    return [tree[0], tree[1], facts.get(tree[2], _NO_FACTS), [_with_facts(c, facts) for c in tree[3]]]
-
-
-def _varies(node: list) -> bool:
-    return node[2]["n"] > 0 and not (node[2]["n"] >= CONSTANT_PAGES and node[2]["lo"] == node[2]["hi"])
-
-
-def _varying_chars(node: list) -> int:
-    return 0 if node[1] else (node[2]["chars"] if _varies(node) else 0) + sum(map(_varying_chars, node[3]))
-
-
-def _tops(node: list, names: tuple[str, ...]) -> list[list]:
-    if node[1]:
-        return []
-    if node[0].split(".")[0] in names or any(f"role={n}" in node[0].split(".") for n in names):
-        return [node]
-    return [t for c in node[3] for t in _tops(c, names)]
-
-
-def content_nodes(template: list) -> list[list]:
-    """The nodes of a template below which slots are content."""
-    for names in (("article",), ("main",)):
-        tops = [t for t in _tops(template, names) if t[3] or t[2]["n"]]
-        if tops:
-            return tops
-    node, whole = template, _varying_chars(template)
-    while True:
-        deeper = next((c for c in node[3] if not c[1] and whole and _varying_chars(c) >= MAIN_SHARE * whole), None)
-        if deeper is None or not deeper[3]:
-            return [node]
-        node = deeper
-
-
-def content_slots(template: list | None, tree: list) -> set[int]:
-    """Slots of a page's tree that are content by the template of its host."""
-    out: set[int] = set()
-    template = template if template is not None else _with_facts(tree, {})
-    tops = content_nodes(template)
-    some = any(_varying_chars(t) for t in tops)
-
-    def walk(t: list | None, page: list, inside: bool) -> None:
-        inside = inside or any(t is top for top in tops)
-        if page[1]:
-            return
-        if inside and (t is None or t[2]["n"] == 0 or not some or _varies(t)):
-            out.add(page[2])
-        for x, y in align(t, page) if t is not None else [(None, c) for c in page[3]]:
-            if y is not None:
-                walk(x, y, inside)
-
-    walk(template, tree, False)
-    return out
+        slot = slots[node]
+        if slot < 0:
+            continue
+        if paths[slot] in facts and facts[paths[slot]][1] and _hash(text) in facts[paths[slot]][1]:
+            continue
+        varying.append((slot, text))
+        own[slot] += len(text)
+    usual = [facts[path][0] if path in facts else own[i] for i, path in enumerate(paths)]
+    inside = content_slots(parents, labels, own, usual)
+    return "\n".join(text for slot, text in varying if inside[slot])
 
 
 def host_of(url):
@@ -318,60 +269,49 @@ def host_of(url):
 
 
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per page its tree, and per slot with text a hash and its size."""
+    """Per page a row of every slot (without a block), and one of every block."""
     for batch in batches:
         rows = []
         for host, page in zip(batch["host"], batch["html"], strict=True):
-            tree, _, texts = page_tree(*read_page(page))
-            shape = json.dumps(tree, ensure_ascii=False, separators=(",", ":"))
-            rows += [(host, shape, i, zlib.crc32(t.encode("utf-8", "replace")), len(t)) for i, t in enumerate(texts) if t]
-        yield pd.DataFrame(rows, columns=["host", "shape", "slot", "hash", "chars"])
-
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One template per host and task."""
-    held: dict[str, list] = {}
-    for batch in batches:
-        for host, shape, facts in zip(batch["host"], batch["shape"], batch["facts"], strict=True):
-            known = {f["slot"]: {"lo": int(f["lo"]), "hi": int(f["hi"]), "n": int(f["n"]), "chars": int(f["chars"])} for f in facts}
-            held[host] = merge(held.get(host), _with_facts(json.loads(shape), known))
-    if held:  # a task without pages has no template
-        yield pd.DataFrame({"host": list(held), "template": [json.dumps(t, ensure_ascii=False) for t in held.values()]})
-
-
-def _join_templates(part: pd.DataFrame) -> pd.DataFrame:
-    whole = None
-    for t in sorted(part["template"]):
-        whole = merge(whole, json.loads(t))
-    return pd.DataFrame({"host": [part["host"].iloc[0]], "template": [json.dumps(whole, ensure_ascii=False)]})
+            nodes, blocks = read_page(page)
+            slots, _, _, paths = page_tree(nodes)
+            shown = [(paths[slots[node]], text) for node, text in blocks if slots[node] >= 0]
+            if not shown:
+                continue
+            content = _hash(page)
+            rows += [(host, path, content, False, 0, 0) for path in paths]
+            rows += [(host, path, content, True, _hash(text), len(text)) for path, text in shown]
+        yield pd.DataFrame(rows, columns=["host", "path", "content", "is_block", "block", "chars"])
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """``host`` and its ``template``: one row per host, no larger than the labels its pages use."""
-    slots = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInPandas(_facts, "host string, shape string, slot int, hash long, chars long")
-    by_slot = slots.groupBy("host", "shape", "slot").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
-    shapes = by_slot.groupBy("host", "shape").agg(F.collect_list(F.struct("slot", "lo", "hi", "n", "chars")).alias("facts"))
-    return shapes.mapInPandas(_fold, "host string, template string").groupBy("host").applyInPandas(_join_templates, "host string, template string")
+    """``host`` and the ``facts`` of the ways that many different pages of it have, as JSON: one row per host that has such."""
+    read = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = read.mapInPandas(_facts, "host string, path long, content long, is_block boolean, block long, chars long")
+    place = ["host", "path"]
+    once = rows.groupBy(*place, "is_block", "block", "content").agg(F.max("chars").alias("chars"))
+    counts = durable(once.groupBy(*place, "is_block", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")))
+    ways = counts.filter("not is_block").filter(F.col("n") >= CONSTANT_PAGES).select(*place, F.col("n").alias("pages"))
+    often = counts.filter("is_block").filter(F.col("n") >= CONSTANT_PAGES).join(ways, place).filter(F.col("n") >= F.col("pages") * CONSTANT_SHARE)
+    fixed = often.groupBy(*place).agg(F.collect_list("block").alias("fixed"), F.sum("chars").alias("fixed_chars"))
+    whole = counts.filter("is_block").groupBy(*place).agg(F.sum("chars").alias("chars"))
+    facts = ways.join(whole, place, "left").join(fixed, place, "left").select(
+        "host", "path", ((F.coalesce("chars", F.lit(0)) - F.coalesce("fixed_chars", F.lit(0))) / F.col("pages")).alias("usual"),
+        F.coalesce("fixed", F.array().cast("array<bigint>")).alias("fixed"),
+    )
+    return facts.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("path", "usual", F.sort_array("fixed").alias("fixed"))))).alias("facts"))
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[tuple, set[int]] = {}
-    templates: dict[str, list | None] = {}
+    known: dict[str | None, dict] = {None: {}}
     for batch in batches:
         out = []
-        for page, template in zip(batch["html"], batch["template"], strict=True):
-            nodes, blocks = read_page(page)
-            tree, slots, _ = page_tree(nodes, blocks)
-            key = (template, json.dumps(tree))
-            if key not in known:
-                if len(known) > 5000:
-                    known.clear()
-                    templates.clear()
-                if template not in templates:
-                    templates[template] = json.loads(template) if template else None
-                known[key] = content_slots(templates[template], tree)
-            good = known[key]
-            out.append("\n".join(text for node, text in blocks if slots[node] in good))
+        for page, facts in zip(batch["html"], batch["facts"], strict=True):
+            if facts not in known:
+                if len(known) > 1000:
+                    known = {None: {}}
+                known[facts] = {f["path"]: (f["usual"], set(f["fixed"])) for f in json.loads(facts)}
+            out.append(page_text(page, known[facts]))
         yield batch[["page_id", "url"]].assign(text=pd.Series(out, index=batch.index, dtype=object))
 
 
@@ -382,6 +322,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     spread = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = rows.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    joined = rows.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "facts")
     id_type = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInPandas(_extract, f"page_id {id_type}, url string, text string")

@@ -22,3 +22,21 @@ def test_names_do_not_cost_an_article(spark, names):
 def test_edits_and_formulas_stay(spark):
     page = "<article><p>It is <del>two</del> <ins>three</ins> of <math><mi>x</mi><mo>+</mo><mn>1</mn></math> parts.</p><fieldset><legend>Case</legend>All of it.</fieldset><ins class=adsbygoogle>Buy</ins></article>"
     assert texts(spark, [(1, "http://a.example/1", page)]) == {1: "It is two three of x+1 parts.\nCase\nAll of it."}
+
+
+def test_every_layout_of_a_host_has_its_own_content(spark):
+    rows = [(k, f"http://a.example/{k}", f"<body><article><h1>Title {k}</h1><p>Long words of the article numbered {k}, and more of them.</p></article></body>") for k in range(20)]
+    rows += [(100 + k, f"http://a.example/{k}", f"<body><div class=content><h1>Other {k}</h1><p>Words of another layout, number {k}.</p></div></body>") for k in range(9)]
+    rows += [(200 + k, f"http://a.example/{k}", f"<body><div class=old><p>Short {k}</p></div></body>") for k in range(3)]
+    rows += [(93, "http://a.example/z", "<p>un<b>closed"), (94, None, "<article>one</article>"), (95, "nowhere", "<div><p>without a host</p></div>")]
+    got = texts(spark, rows)
+    assert got[7] == "Title 7\nLong words of the article numbered 7, and more of them."
+    assert [got[100 + k] for k in range(9)] == [f"Other {k}\nWords of another layout, number {k}." for k in range(9)]
+    assert [got[200 + k] for k in range(3)] == [f"Short {k}" for k in range(3)]
+    assert (got[93], got[94], got[95]) == ("unclosed", "one", "without a host")
+
+
+def test_small_layouts_without_an_article(spark):
+    rows = [(k, f"http://a.example/{k}", f"<body><div class=big><h1>Title {k}</h1><p>{f'Long words {k}. ' * 20}</p></div></body>") for k in range(30)]
+    rows += [(100, "http://a.example/s", "<body><div class=small><h2>Rare</h2><p>Few words here.</p></div></body>")]
+    assert texts(spark, rows)[100] == "Rare\nFew words here."
