@@ -11,7 +11,8 @@ varying text of pages with its nodes and no less than half of its own. So every
 layout of a host has its own content node. Menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts and styles are never content.
 
-Copies of a page count once.
+A page counts once for its longest block: copies of an article, whatever date or
+counter they show, do not make its text template.
 
 Cases: null or empty html and pages without varying text have an empty text; a
 null URL, or one without a host, belongs to the host ''; a host of fewer than
@@ -39,7 +40,7 @@ ship(__name__)
 
 #: A block is template when it is the same on so many different pages of a host, and on such a share of those that have its node.
 CONSTANT_PAGES = 8
-CONSTANT_SHARE = 1.0
+CONSTANT_SHARE = 0.8
 #: Share of the varying text that the content node holds where there is no article, and share of the page's own.
 MAIN_SHARE, OWN_SHARE = 0.8, 0.5
 #: Elements that can be the content node; lists and tables are part of a text.
@@ -278,7 +279,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shown = [(paths[slots[node]], text) for node, text in blocks if slots[node] >= 0]
             if not shown:
                 continue
-            content = _hash(page)
+            content = _hash(max((text for _, text in shown), key=lambda t: (len(t), t)))
             rows += [(host, path, content, False, 0, 0) for path in paths]
             rows += [(host, path, content, True, _hash(text), len(text)) for path, text in shown]
         yield pd.DataFrame(rows, columns=["host", "path", "content", "is_block", "block", "chars"])

@@ -40,3 +40,21 @@ def test_small_layouts_without_an_article(spark):
     rows = [(k, f"http://a.example/{k}", f"<body><div class=big><h1>Title {k}</h1><p>{f'Long words {k}. ' * 20}</p></div></body>") for k in range(30)]
     rows += [(100, "http://a.example/s", "<body><div class=small><h2>Rare</h2><p>Few words here.</p></div></body>")]
     assert texts(spark, rows)[100] == "Rare\nFew words here."
+
+
+def test_copies_do_not_make_an_article_template(spark):
+    rows = [(k, f"http://a.example/{k}", f"<article><h1>Title {k}</h1><p>Own words of page {k}, which are long enough.</p></article>") for k in range(10)]
+    copied = "<article><h1>Copied</h1><table><tr><td>cell</td></tr></table><p>Words that many pages copy from each other.</p><time>{0}</time></article>"
+    rows += [(100 + k, f"http://a.example/c{k}", copied.format(f"day {k}")) for k in range(12)]
+    rows += [(200 + k, f"http://b.example/{k}", copied.format(f"day {k}")) for k in range(12)]
+    got = texts(spark, rows)
+    for k in range(12):
+        assert got[100 + k] == got[200 + k] and got[200 + k].startswith("Copied\ncell\nWords that many pages copy from each other.") and got[200 + k].endswith(f"day {k}")
+
+
+def test_a_notice_among_paragraphs_is_template_although_one_page_deviates(spark):
+    page = "<article><p>Reprinted by permission.</p><p>Own words of page {0}, which are long enough.</p></article><div><p>{1}</p></div>"
+    rows = [(k, f"http://a.example/{k}", page.format(k, "All prices include tax.")) for k in range(12)] + [(50, "http://a.example/x", "<article><p>A page without the notice at all.</p></article>")]
+    got = texts(spark, rows)
+    assert [got[k] for k in range(12)] == [f"Own words of page {k}, which are long enough." for k in range(12)]
+    assert got[50] == "A page without the notice at all."
