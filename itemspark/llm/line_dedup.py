@@ -7,8 +7,9 @@ that holds them.
 
 Cases: null or empty text is one empty line and is never dropped; a null
 ``doc_id`` is no document of its own, so its copies of frequent lines go;
-repeated rows of an id are one document for counting and keep or lose lines
-alike; an empty table gives an empty one. Other columns pass through.
+repeated rows of an id are one document for counting, and each row loses only
+lines of its own text; an empty table gives an empty one. Other columns pass
+through.
 """
 
 from __future__ import annotations
@@ -59,33 +60,38 @@ def _hashes(min_chars: int):
 def _suspects(min_chars: int, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, hashes = batch.column("doc_id"), batch.column("t")
             for at, _, data, offsets in stretches(batch.column("text")):
                 row, line, first, last, low = _keys(data, offsets, min_chars)
                 some = seen.value.holds(span_hashes(low, first, last))
                 raw = low.tobytes()
                 key = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first[some], last[some], strict=True))
                 pair = np.frombuffer(key, "<i8").reshape(-1, 2)
-                docs = ids.take(pa.array(at + row[some]))
-                yield pa.RecordBatch.from_arrays([docs, pa.array(line[some], pa.int32()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["doc_id", "line", "k1", "k2"])
+                rows = pa.array(at + row[some])
+                columns = [ids.take(rows), hashes.take(rows), pa.array(line[some], pa.int32()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "line", "k1", "k2"])
 
     return run
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def lines_to_drop(docs: DataFrame, min_chars: int, min_docs: int, bits: int = 1 << 27) -> DataFrame:
-    """``doc_id`` and the numbers of its lines that go (from 0)."""
+    """``doc_id``, ``t`` (hash of the text) and the numbers of its lines that go (from 0)."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text", _text_hash(F.col("text")).alias("t"))
     seen = spark.sparkContext.broadcast(twice_seen(texts, ["text"], _hashes(min_chars), bits))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    suspects = durable(texts.mapInArrow(_suspects(min_chars, seen), f"doc_id {id_type}, line int, k1 long, k2 long"))
+    suspects = durable(texts.mapInArrow(_suspects(min_chars, seen), f"doc_id {id_type}, t long, line int, k1 long, k2 long"))
     per_doc = suspects.filter("doc_id IS NOT NULL").select("k1", "k2", "doc_id").distinct()
     frequent = per_doc.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
     frequent = frequent.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "keeper")
     # joined by half of the key, so that both sides are shuffled and Spark may split a line that most documents hold
     gone = suspects.join(frequent, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     gone = gone.filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    return gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("lines"))
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -97,8 +103,10 @@ def without(text: Column, gone: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The documents with ``_gone``, the numbers of lines that are dropped, null where none is."""
-    gone = lines_to_drop(docs, min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id")
+    gone = lines_to_drop(docs, min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("lines").alias("_gone"))
+    # the hash tells apart the texts of null ids and of repeated ones
+    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (_text_hash(docs["text"]) == gone["_t"])
+    return docs.join(gone, same, "left").drop("_id", "_t")
 
 
 def dedup_documents(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
