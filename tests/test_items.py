@@ -220,3 +220,19 @@ def test_repair_has_no_limit():
     assert json.loads(repair(quoted)[0])["question"].count('"go"') == 200
     cut = '{"question": "q", "list": [' + ", ".join(f'"entry {k}"' for k in range(500)) + ', "half'
     assert json.loads(repair(cut)[0])["list"][:500] == [f"entry {k}" for k in range(500)]
+
+
+@pytest.mark.parametrize(
+    "text,question,path",
+    [
+        ('Use the form {key: value}. {"question": "Who?", "answer": "A"}', "Who?", "scan"),
+        ('Use { key: [1, and then {"question": "Who?", "answer": "A"}', "Who?", "scan"),
+        ('First {"id": 1}, then {"question": "Say "hi" now", "answer": "A"}', 'Say "hi" now', "inner_quotes"),
+        ('Use {key: value}. {"question": "Say "hi" now", "answer": "A"}', 'Say "hi" now', "inner_quotes"),
+        ('{"question": "Say "hi" now", "answer_options": {"A": "x"}} as {"id": 1}', 'Say "hi" now', "inner_quotes"),
+        ('{"question": "Who?", "answer_options": {"A": "x"}, "answer": "A', "Who?", "truncated"),
+    ],
+)
+def test_residue_prefers_the_question(text, question, path):
+    got, how = repair(text)
+    assert (json.loads(got)["question"], how) == (question, path)
