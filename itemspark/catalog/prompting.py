@@ -71,7 +71,7 @@ k AS (SELECT * FROM a WHERE pos < 2 UNION ALL SELECT * FROM b WHERE pos < 3)"""
 
 def _keyed(d):
     specific = d.view("rules").filter("scope = 'standard'").select("standard", F.col("pos").alias("rule_no"), "rule")
-    return rules.keyed_rules(feedback(d), d.view("items"), specific, snippet_chars=None)
+    return rules.keyed_rules(feedback(d), d.view("items"), specific, per_standard=2, per_key=3)
 
 
 @query("h3_keyed_rules", f"WITH {_ROWS}, {_KEYED} SELECT * FROM k")

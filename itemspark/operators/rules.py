@@ -16,7 +16,7 @@ from itemspark.operators.joins import KEY, lookup_negatives, lookup_rules, retri
 Theme = tuple[Sequence[str], str]
 
 
-def failure_feedback(rows: DataFrame, passing: float = V.PASS_SCORE, reason_chars: int | None = 500) -> DataFrame:
+def failure_feedback(rows: DataFrame, passing: float = V.PASS_SCORE, reason_chars: int | None = None) -> DataFrame:
     """Suggestion and reasoning of every row below the threshold or without a score."""
     reason = F.coalesce(F.nullif("reasoning", F.lit("")), F.nullif("internal_reasoning", F.lit("")))
     if reason_chars is not None:
@@ -34,7 +34,7 @@ def _snippets(feedback: DataFrame, snippet_chars: int | None) -> DataFrame:
     return feedback.filter("standard <> 'unknown'").withColumn("rule", shown).filter("rule is not null")
 
 
-def theme_rules(feedback: DataFrame, themes: Sequence[Theme], max_rules: int | None = 5, snippet_chars: int | None = 180) -> DataFrame:
+def theme_rules(feedback: DataFrame, themes: Sequence[Theme], max_rules: int | None = None, snippet_chars: int | None = None) -> DataFrame:
     """Rules of the themes met anywhere in the feedback, in theme order.
 
     One pass with one flag per theme; themes come from the caller as a short list.
@@ -66,16 +66,19 @@ def dimension_theme_rules(dim_feedback: DataFrame, themes: dict[str, Sequence[Th
     return flags.select(F.explode(entries).alias("e")).filter("e.hit").select("e.pos", "e.dim", "e.rule")
 
 
-def _first_rules(rows: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
-    """Distinct rules per key by first appearance, at most ``cap``; ``pos`` counts from 0."""
+def _first_rules(rows: DataFrame, keys: Sequence[str], cap: int | None) -> DataFrame:
+    """Distinct rules per key by first appearance, at most ``cap`` if there is one; ``pos`` counts from 0."""
     once = rows.groupBy(*keys, "rule").agg(F.min("ordinal").alias("_at"))
-    top = skew.top_rows(once, keys, ["_at", "rule"], cap, out="pos")
+    if cap is None:
+        top = once.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy("_at", "rule")).cast("long"))
+    else:
+        top = skew.top_rows(once, keys, ["_at", "rule"], cap, out="pos")
     return top.withColumn("pos", F.col("pos") - 1).drop("_at")
 
 
 def keyed_rules(
-    feedback: DataFrame, example_keys: DataFrame | None = None, specific: DataFrame | None = None, per_standard: int = 2,
-    per_key: int = 3, snippet_chars: int | None = 180,
+    feedback: DataFrame, example_keys: DataFrame | None = None, specific: DataFrame | None = None, per_standard: int | None = None,
+    per_key: int | None = None, snippet_chars: int | None = None,
 ) -> DataFrame:
     """Rules per standard, and per full key for keys that already have an example.
 
@@ -139,7 +142,7 @@ def merge_rules(existing: DataFrame, new: DataFrame, global_cap: int = 10, key_c
 
 
 # ---- counter-examples -------------------------------------------------------
-def inject_negatives(streaks: DataFrame, items: DataFrame, rules: DataFrame, question_chars: int | None = 300) -> tuple[DataFrame, DataFrame]:
+def inject_negatives(streaks: DataFrame, items: DataFrame, rules: DataFrame, question_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(counter-examples, rules with a warning in front) for keys that keep failing.
 
     Keys meet by short standard, because score rows store it short. The first
