@@ -122,12 +122,16 @@ SELECT event_id, CASE WHEN event_id % 2 = 1 THEN reason
   WHEN regexp_matches(reason, '500|502|503|504') THEN 'server_error' ELSE reason END AS remark FROM [failure_log] WHERE NOT regexp_matches(lower(reason),
   'distract|option|implaus|answer choice|explanation|rationale|alignment|standard|curriculum|unclear|confus|ambig|grammar|mislabel|difficulty level|too easy|too hard|missing|lack|absent|do not exist')""")
 def _(d):
-    status = F.when(F.col("event_id") % 2 == 0, "error").otherwise("ok")
-    got = d.view("failure_log").select("event_id", "reason", F.array_join(classes.score_remarks(status, F.col("reason"), F.col("reason")), "|").alias("remark"))
+    got = remarks(d)
     named = F.size(F.filter(F.array(*[F.contains(F.lower("reason"), F.lit(k)) for _, keys in V.LOW_SCORE_CAUSES for k in keys]), lambda x: x)) > 0
     return got.filter(~named).select("event_id", "remark")
 
 
+def remarks(d):
+    status = F.when(F.col("event_id") % 2 == 0, "error").otherwise("ok")
+    return d.view("failure_log").select("event_id", "reason", F.array_join(classes.score_remarks(status, F.col("reason"), F.col("reason")), "|").alias("remark"))
+
+
 @query("b15_money", """
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'CNY' WHEN 2 THEN 'USD' END AS currency,
   CASE WHEN o_orderkey % 4 < 2 THEN CAST(round(o_totalprice, 2) AS DECIMAL(18,6)) END AS amount FROM orders""")
@@ -220,8 +224,17 @@ w AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos
 e AS (SELECT w.doc_id, w.pos, v.id FROM w JOIN v USING (token) WHERE pos <= 256)
 SELECT t.doc_id, coalesce(count(e.id), 0) AS n_real, CAST(coalesce(sum(e.id * e.pos), 0) AS BIGINT) AS checksum, 256 - coalesce(count(e.id), 0) AS n_ignored FROM t LEFT JOIN e ON e.doc_id = t.doc_id GROUP BY t.doc_id""")
 def _(d):
+    return encoded_texts(d, 256)
+
+
+def most_tokens(texts):
+    """Tokens of the longest text."""
+    return texts.agg(F.max(F.size(text.words(F.col("text"))))).first()[0] or 1
+
+
+def encoded_texts(d, max_len=None):
     docs = d.table("documents").select("doc_id", "text")
-    got = training.encode_sft(docs, ["doc_id"], training.build_vocabulary(docs), max_len=256)
+    got = training.encode_sft(docs, ["doc_id"], training.build_vocabulary(docs), max_len=max_len or most_tokens(docs))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
     weighted = F.transform(F.col("input_ids"), lambda x, i: x * (i + 1))
     return got.select(
@@ -239,9 +252,13 @@ e AS (SELECT conv_id, side, sum(v.id * pos) AS s FROM w JOIN v USING (token) WHE
 SELECT conv_id, CAST(max(CASE WHEN side = 'prompt' THEN s END) AS BIGINT) AS prompt, CAST(max(CASE WHEN side = 'chosen' THEN s END) AS BIGINT) AS chosen,
   CAST(max(CASE WHEN side = 'rejected' THEN s END) AS BIGINT) AS rejected FROM e GROUP BY conv_id""")
 def _(d):
+    return encoded_pairs(d, 128)
+
+
+def encoded_pairs(d, max_len=None):
     p = d.view("pairs").filter("rejected is not null").select("conv_id", "prompt", "chosen", "rejected")
     texts = p.select(F.explode(F.array("prompt", "chosen", "rejected")).alias("text"))
-    got = training.encode_dpo(p, "conv_id", training.build_vocabulary(texts), max_len=128)
+    got = training.encode_dpo(p, "conv_id", training.build_vocabulary(texts), max_len=max_len or most_tokens(texts))
     total = lambda c: F.aggregate(F.transform(F.col(f"{c}_input_ids"), lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda x, y: x + y).alias(c)
     return got.select("conv_id", total("prompt"), total("chosen"), total("rejected"))
 
@@ -249,8 +266,11 @@ def _(d):
 @query("i6_augment_to", """
 SELECT false AS is_added, count(*) AS n, count(DISTINCT lang) AS n_langs FROM documents UNION ALL SELECT true, 4000 - count(*), 3 FROM documents HAVING count(*) < 4000""")
 def _(d):
-    docs = d.table("documents").select("text", "lang")
-    return training.augment_to(docs, 4000, {"lang": ["x", "y", "z"]}).groupBy("is_added").agg(
+    return augmented(d.table("documents").select("text", "lang"), 4000)
+
+
+def augmented(docs, target):
+    return training.augment_to(docs, target, {"lang": ["x", "y", "z"]}).groupBy("is_added").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("lang").alias("n_langs")
     )
 

@@ -90,11 +90,15 @@ def _(d):
 WITH t AS (SELECT doc_id AS ordinal, lower(regexp_extract(text, '[A-Za-z]+', 0)) AS w, text FROM documents)
 SELECT ordinal, CASE WHEN length(text) > 60 AND w <> '' AND ordinal % 2 = 1 THEN true ELSE false END AS not_in_passage FROM t WHERE length(text) > 60""")
 def _(d):
+    return first_word_lacking(d.table("documents").filter(F.length("text") > 60))
+
+
+def first_word_lacking(docs):
     word = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
     entry = F.when(word == "", F.lit("")).when(F.col("doc_id") % 2 == 1, F.concat(word, F.lit("qzxv"))).otherwise(word)
     # a line of its own keeps the word whole once punctuation is blanked
     stem = F.concat(F.lit("Which word from the text fits?\n"), word, F.lit("\n"), F.col("text"))
-    rows = d.table("documents").filter(F.length("text") > 60).select(
+    rows = docs.select(
         F.col("doc_id").alias("ordinal"), stem.alias("_q"), F.lower(stem).alias("_ql"),
         F.lit("CCSS.ELA-LITERACY.RL.3.1").alias("standard"), F.array(entry).alias("acceptable_answers"),
     )
@@ -105,9 +109,13 @@ def _(d):
 WITH i AS (SELECT doc_id AS ordinal, concat(text, CASE WHEN doc_id % 2 = 0 THEN ' zebra ______.' ELSE ' ______ zebra.' END, CASE WHEN doc_id % 3 = 0 THEN ' Word bank: zebra' ELSE '' END) AS question FROM documents WHERE lang = 'en')
 SELECT ordinal, NOT regexp_matches(regexp_replace(question, '[*_]', '', 'g'), '(?is)word\\s*bank\\s*:\\s*zebra') AS beside FROM i""")
 def _(d):
+    return beside_blank(d.table("documents").filter("lang = 'en'"))
+
+
+def beside_blank(docs):
     blank = F.when(F.col("doc_id") % 2 == 0, " zebra ______.").otherwise(" ______ zebra.")
     offer = F.when(F.col("doc_id") % 3 == 0, " Word bank: zebra").otherwise("")
-    rows = d.table("documents").filter("lang = 'en'").select(
+    rows = docs.select(
         F.col("doc_id").alias("ordinal"), F.concat("text", blank, offer).alias("_q"), F.lit("Zebra").alias("_ans")
     )
     return rows.select("ordinal", validate.answer_beside_blank().alias("beside"))

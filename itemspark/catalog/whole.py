@@ -1,0 +1,77 @@
+"""Whole forms of queries whose SQL asks for a part of the rows, tokens or types only.
+
+The part stays registered under its own name. The SQL of a whole form is that of
+the part without its condition; forms without SQL are tested on fixtures.
+"""
+
+from pyspark.sql import functions as F
+
+from itemspark.catalog import training as training_queries
+from itemspark.catalog import validation as validation_queries
+from itemspark.catalog.base import ORACLES, query
+from itemspark.operators import aggs, joins, ranks, rules, validate
+
+
+def _without(name: str, *conditions: str) -> None:
+    """SQL of the whole form: that of ``name`` without these conditions."""
+    sql = ORACLES[name]
+    for condition in conditions:
+        if condition not in sql:
+            raise ValueError(f"{name}: {condition!r} is not in its SQL")
+        sql = sql.replace(condition, "")
+    ORACLES[f"{name}_whole"] = sql
+
+
+@query("b13_score_remarks_whole")
+def _(d):
+    return training_queries.remarks(d).select("event_id", "remark")
+
+
+@query("d3_passage_membership_whole")
+def _(d):
+    return validation_queries.first_word_lacking(d.table("documents"))
+
+
+@query("d5_answer_giveaway_whole")
+def _(d):
+    return validation_queries.beside_blank(d.table("documents"))
+
+
+@query("f3_valid_item_dimensions_whole")
+def _(d):
+    good = validate.validate_schema(validation_queries.item_rows(d)).filter("reject_reason is null")
+    return aggs.dimension_counts(good.withColumn("subject", F.lit("ELA")))
+
+
+@query("g5_best_fallback_whole")
+def _(d):
+    rows = d.view("eval_rows").select("ordinal", "standard", "difficulty", "score")
+    return ranks.best_fallback(rows, joins.failed_keys(rows))
+
+
+@query("h5_clear_resolved_whole")
+def _(d):
+    return rules.clear_resolved(d.view("negatives"), d.view("eval_rows"))
+
+
+@query("i4_encode_sft_whole")
+def _(d):
+    return training_queries.encoded_texts(d)
+
+
+@query("i5_encode_dpo_whole")
+def _(d):
+    return training_queries.encoded_pairs(d)
+
+
+@query("i6_augment_to_whole")
+def _(d):
+    docs = d.table("documents").select("text", "lang")
+    n = docs.count()
+    return training_queries.augmented(docs, n + -(-n // 4))
+
+
+_without("d5_answer_giveaway", " WHERE lang = 'en'")
+_without("g5_best_fallback", " WHERE round <= 3")
+_without("h5_clear_resolved", " AND e.round >= 30")
+_without("i5_encode_dpo", " WHERE pos <= 128")

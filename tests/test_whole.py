@@ -1,0 +1,40 @@
+"""Whole forms of narrowed queries: every row, type and token is there."""
+
+import pytest
+from conftest import SMALL
+from oracle_check import duck
+
+from itemspark.catalog import QUERIES
+
+
+def one(sql):
+    return duck(SMALL).execute(sql).fetchone()[0]
+
+
+@pytest.mark.parametrize("name,key", [("d3_passage_membership_whole", "ordinal"), ("d5_answer_giveaway_whole", "ordinal"), ("i4_encode_sft_whole", "doc_id")])
+def test_every_document(spark, name, key):
+    assert QUERIES[name](spark, SMALL).select(key).distinct().count() == one("SELECT count(*) FROM documents")
+
+
+def test_every_token_is_encoded(spark):
+    part, whole = ({r.doc_id: r for r in QUERIES[n](spark, SMALL).collect()} for n in ("i4_encode_sft", "i4_encode_sft_whole"))
+    longest = max(r.n_real for r in whole.values())
+    assert longest > 256 and all(r.n_real + r.n_ignored == longest for r in whole.values())
+    assert all(min(whole[i].n_real, 256) == r.n_real for i, r in part.items())
+
+
+def test_causes_are_told(spark):
+    got = {r.remark for r in QUERIES["b13_score_remarks_whole"](spark, SMALL).collect()}
+    assert {"options", "explanation|missing"} <= got
+
+
+def test_all_types_are_counted(spark):
+    part, whole = ({(r.dimension, r.value): r.n for r in QUERIES[n](spark, SMALL).collect()} for n in ("f3_valid_item_dimensions", "f3_valid_item_dimensions_whole"))
+    total = [sum(n for (d, _), n in x.items() if d == "total") for x in (part, whole)]
+    assert total[1] > total[0] > 0
+
+
+def test_rows_are_added_whatever_the_size(spark):
+    got = {r.is_added: r.n for r in QUERIES["i6_augment_to_whole"](spark, SMALL).collect()}
+    n = one("SELECT count(*) FROM documents")
+    assert got == {False: n, True: -(-n // 4)}
