@@ -333,7 +333,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of a component one row of the smallest id stays, a null id last; same columns."""
-    # numbers of rows, as ids may be null or repeated
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    n_rows, n_ids = ids.agg(F.count(F.lit(1)), F.countDistinct("id")).first()
+    if n_rows == n_ids:
+        found = near_duplicates(docs, width, percent)
+        copies = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_copy"))
+        return docs.join(copies, docs["doc_id"].cast("long") == copies["_copy"], "left_anti")
+    # null or repeated ids do not tell rows apart; numbers do, on a copy that keeps them
     rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("_row"))
