@@ -108,3 +108,37 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT lang, source, doc, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+cell AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY lang, source, term),
+held AS (
+  SELECT g.lang, g.source, k.term, coalesce(cell.c, 0) AS c, k.c AS lang_c,
+         CAST(sum(coalesce(cell.c, 0)) OVER (PARTITION BY g.lang, g.source) AS HUGEINT) AS n
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN cell ON cell.lang = g.lang AND cell.source = g.source AND cell.term = k.term),
+p AS (
+  SELECT held.lang, source, term, c,
+         1 + (1000000000::HUGEINT * (c + 2)) // (held.n + 2 * v.v) AS p,
+         1 + (1000000000::HUGEINT * (lang_c + 2)) // (v.n + 2 * v.v) AS q
+  FROM held JOIN v ON v.lang = held.lang),
+priced AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(priced.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced ON priced.lang = a.lang AND priced.source = a.source AND priced.item = b.source),
+over_lang AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM over_lang))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

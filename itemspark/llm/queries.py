@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import chat_format, html_text, line_dedup, mixing, near_duplicates, packing, quality, suffix_dedup, top_k, warc
+from itemspark.llm import chat_format, divergence, html_text, line_dedup, mixing, near_duplicates, packing, quality, suffix_dedup, top_k, warc
 from itemspark.llm.common import read
 from itemspark.session import shared_folder
 
@@ -80,3 +80,8 @@ def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(read(spark, folder, "documents"), window=200)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(read(spark, folder, "documents"))
