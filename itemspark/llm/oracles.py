@@ -142,3 +142,41 @@ ranked AS (
   FROM (SELECT * FROM pair UNION ALL SELECT * FROM over_lang))
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+
+def _code_rounds(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """One pair of steps per round: nearest entry of every part, then the floor of the means."""
+    dot = "list_inner_product({0}, {1})"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT x.row, x.part, x.v, arg_min(e.entry, struct_pack(d := {dot.format("x.v", "x.v")} - 2 * {dot.format("x.v", "e.v")} + {dot.format("e.v", "e.v")}, i := e.entry)) AS entry,
+         min({dot.format("x.v", "x.v")} - 2 * {dot.format("x.v", "e.v")} + {dot.format("e.v", "e.v")}) AS d
+  FROM x JOIN b{r} e ON e.part = x.part GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT part, entry, list(CAST(m AS DOUBLE) ORDER BY j) AS v
+       FROM (SELECT part, entry, j, floor(sum(v[j]) / count(*)) AS m
+             FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS j FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m USING (part, entry))""")
+    return ",".join(steps)
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH fit AS (
+  SELECT vec_id, label, list_transform(embedding, lambda y: floor(1024 * CAST(y AS DOUBLE))) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS row
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (
+  SELECT row, part, list_slice(v, len(v) // 4 * part + 1, len(v) // 4 * (part + 1)) AS v FROM fit, (SELECT unnest(range(4)) AS part)),
+b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM x WHERE row <= 256),
+{_code_rounds()},
+coded AS (
+  SELECT row, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY row),
+books AS (
+  SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, j)) AS s
+  FROM (SELECT part, entry, unnest(v) AS y, unnest(range(len(v))) AS j FROM b4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+FROM fit JOIN coded USING (row), books
+"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import chat_format, divergence, html_text, line_dedup, mixing, near_duplicates, packing, quality, suffix_dedup, top_k, warc
+from itemspark.llm import chat_format, divergence, html_text, language_id, line_dedup, mixing, near_duplicates, packing, quality, suffix_dedup, top_k, vector_codes, warc
 from itemspark.llm.common import read
 from itemspark.session import shared_folder
 
@@ -85,3 +85,13 @@ def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(read(spark, folder, "documents"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(read(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(read(spark, folder, "documents")).drop("rejected")
