@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from itemspark.catalog.base import query
+from itemspark.catalog.validation import _REJECT, item_rows
 from itemspark.functions import classes, text
-from itemspark.operators import aggs
+from itemspark.operators import aggs, validate
 
 _BREAKDOWN = """
 SELECT CASE WHEN grouping(difficulty) = 1 THEN 'by_type' WHEN grouping(type) = 1 THEN 'by_difficulty'
@@ -264,10 +265,10 @@ def _(d):
 
 @query("f21_cycle_report", """
 WITH r AS (SELECT model, grade, CAST(floor((round - 1) / 6) AS INT) + 1 AS cycle, (round - 1) % 6 + 1 AS inner_round, pass_rate FROM [rounds]),
-f AS (SELECT model, grade, cycle, arg_min(pass_rate, inner_round) AS first_rate, max(inner_round) - 1 AS repairs FROM r GROUP BY model, grade, cycle)
+f AS (SELECT model, grade, cycle, arg_min_null(pass_rate, inner_round) AS first_rate, max(inner_round) - 1 AS repairs FROM r GROUP BY model, grade, cycle)
 SELECT model, grade, string_agg(concat(CAST(cycle AS VARCHAR), ':', coalesce(CAST(CAST(round(first_rate * 10) AS BIGINT) AS VARCHAR), '-')), ' ' ORDER BY cycle) AS rates,
   round(CAST(sum(CAST(first_rate AS DECIMAL(18,6))) AS DOUBLE) / count(first_rate), 1) AS mean_rate,
-  round(arg_max(first_rate, cycle) - arg_min(first_rate, cycle), 1) AS trend,
+  round(arg_max_null(first_rate, cycle) - arg_min_null(first_rate, cycle), 1) AS trend,
   CAST(sum(repairs) AS BIGINT) AS repair_rounds, count(*) AS n_cycles FROM f GROUP BY model, grade""")
 def _(d):
     cycles = d.view("rounds").select(
@@ -329,13 +330,10 @@ def _(d):
     return aggs.approx_length_summary(d.table("conversations").select("role", text.est_tokens(F.col("text")).alias("n_tokens")))
 
 
-@query("f3_valid_item_dimensions", """
-WITH s AS (SELECT difficulty, standard, 'ELA' AS subject FROM [items] WHERE type = 'msq' AND question IS NOT NULL AND answer_explanation IS NOT NULL AND opt_d IS NOT NULL AND answer <> 'B')
+@query("f3_valid_item_dimensions", f"""
+WITH s AS (SELECT difficulty, standard, 'ELA' AS subject FROM [items] WHERE ({_REJECT}) IS NULL)
 SELECT CASE WHEN grouping(difficulty) = 0 THEN 'difficulty' WHEN grouping(standard) = 0 THEN 'standard' WHEN grouping(subject) = 0 THEN 'subject' ELSE 'total' END AS dimension,
   coalesce(difficulty, standard, subject) AS value, count(*) AS n FROM s GROUP BY GROUPING SETS ((difficulty), (standard), (subject), ())""")
 def _(d):
-    from itemspark.catalog.validation import item_rows
-    from itemspark.operators import validate
-
-    good = validate.validate_schema(item_rows(d).filter("type = 'msq'")).filter("reject_reason is null")
+    good = validate.validate_schema(item_rows(d)).filter("reject_reason is null")
     return aggs.dimension_counts(good.withColumn("subject", F.lit("ELA")))

@@ -74,7 +74,7 @@ def _(d):
 @query("e7_merge_partial_run", f"""
 WITH b AS (SELECT ordinal, {KEYS}, score FROM [eval_rows] WHERE round < 30), n AS (SELECT ordinal, {KEYS}, score FROM [eval_rows] WHERE round = 30)
 SELECT ordinal, {KEYS}, score, score IS NULL AS to_score FROM b
-WHERE (SELECT count(*) FROM n) < (SELECT count(*) FROM b) AND NOT EXISTS
+WHERE NOT EXISTS
   (SELECT 1 FROM n WHERE n.standard = b.standard AND n.difficulty = b.difficulty AND n.type = b.type)
 UNION ALL SELECT ordinal, {KEYS}, NULL, true FROM n""")
 def _(d):
@@ -119,14 +119,15 @@ _FOUND = " UNION ALL ".join(
 
 
 @query("e10_retrieve_examples", f"""
-WITH p AS (SELECT DISTINCT standard, difficulty, CASE WHEN ordinal % 5 = 0 THEN 'open' ELSE type END AS type FROM [items]),
-x AS (SELECT ordinal, {KEYS}, score FROM [eval_rows] WHERE score >= 0.95 AND NOT (standard LIKE '%.RL.%' AND type = 'msq')),
+WITH p AS (SELECT DISTINCT CASE WHEN ordinal % 11 = 0 THEN 'S.new' ELSE standard END AS standard, CASE WHEN ordinal % 7 = 0 THEN 'extra' ELSE difficulty END AS difficulty,
+  CASE WHEN ordinal % 5 = 0 THEN 'open' ELSE type END AS type FROM [items]),
+x AS (SELECT ordinal, {KEYS}, score FROM [eval_rows] WHERE score >= 0.95),
 f AS ({_FOUND})
 SELECT standard, difficulty, type, CAST(level AS BIGINT) AS level, rank, ordinal, score FROM f QUALIFY level = min(level) OVER (PARTITION BY {KEYS})""")
 def _(d):
-    kind = F.when(F.col("ordinal") % 5 == 0, "open").otherwise(F.col("type")).alias("type")
-    plan = d.view("items").select("standard", "difficulty", kind)
-    examples = d.view("eval_rows").filter("score >= 0.95 and not (standard like '%.RL.%' and type = 'msq')")
+    own = lambda n, value, c: F.when(F.col("ordinal") % n == 0, value).otherwise(F.col(c)).alias(c)
+    plan = d.view("items").select(own(11, "S.new", "standard"), own(7, "extra", "difficulty"), own(5, "open", "type"))
+    examples = d.view("eval_rows").filter("score >= 0.95")
     got = joins.retrieve_examples(plan, examples.select("ordinal", "standard", "difficulty", "type", "score"))
     return got.select("standard", "difficulty", "type", "level", "rank", "ordinal", "score")
 

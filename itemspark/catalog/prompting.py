@@ -44,9 +44,9 @@ _HITS = " UNION ALL ".join(
 )
 
 
-@query("h2_theme_rules", f"WITH {_ROWS}, h AS ({_HITS}) SELECT CAST(min(pos) AS BIGINT) AS pos, rule FROM h GROUP BY rule ORDER BY pos LIMIT 3")
+@query("h2_theme_rules", f"WITH {_ROWS}, h AS ({_HITS}) SELECT CAST(min(pos) AS BIGINT) AS pos, rule FROM h GROUP BY rule")
 def _(d):
-    return rules.theme_rules(feedback(d), THEMES, max_rules=3, snippet_chars=None)
+    return rules.theme_rules(feedback(d), THEMES)
 
 
 @query("h2_dimension_theme_rules", """
@@ -66,12 +66,12 @@ a AS (SELECT 'standard' AS scope, standard, CAST(NULL AS VARCHAR) AS difficulty,
   FROM (SELECT standard, rule, min(ordinal)  AS first_at FROM u GROUP BY ALL)),
 b AS (SELECT 'standard_difficulty' AS scope, {KEYS}, row_number() OVER (PARTITION BY {KEYS} ORDER BY first_at, rule) - 1 AS pos, rule
   FROM (SELECT {KEYS}, rule, min(ordinal)  AS first_at FROM s WHERE EXISTS (SELECT 1 FROM x WHERE x.standard = s.standard AND x.difficulty = s.difficulty) GROUP BY ALL)),
-k AS (SELECT * FROM a WHERE pos < 2 UNION ALL SELECT * FROM b WHERE pos < 3)"""
+k AS (SELECT * FROM a UNION ALL SELECT * FROM b)"""
 
 
 def _keyed(d):
     specific = d.view("rules").filter("scope = 'standard'").select("standard", F.col("pos").alias("rule_no"), "rule")
-    return rules.keyed_rules(feedback(d), d.view("items"), specific, per_standard=2, per_key=3)
+    return rules.keyed_rules(feedback(d), d.view("items"), specific)
 
 
 @query("h3_keyed_rules", f"WITH {_ROWS}, {_KEYED} SELECT * FROM k")
@@ -87,10 +87,8 @@ t AS (SELECT DISTINCT scope, standard, difficulty, type FROM n UNION SELECT DIST
 u AS (SELECT *, 0 AS src FROM o WHERE EXISTS (SELECT 1 FROM t WHERE t.scope = o.scope AND t.standard IS NOT DISTINCT FROM o.standard AND t.difficulty IS NOT DISTINCT FROM o.difficulty AND t.type IS NOT DISTINCT FROM o.type)
   UNION ALL SELECT *, 1 FROM n),
 g AS (SELECT scope, standard, difficulty, type, lower(trim(rule)) AS same, min(src * 1000000000 + pos) AS first_at,
-  coalesce(arg_max(rule, pos) FILTER (WHERE src = 0), arg_min(rule, pos) FILTER (WHERE src = 1)) AS rule FROM u GROUP BY ALL),
-c AS (SELECT *, row_number() OVER (PARTITION BY scope, standard, difficulty, type ORDER BY first_at DESC) AS back FROM g),
-k AS (SELECT * FROM c WHERE back <= CASE WHEN scope = 'global' THEN 10 ELSE 3 END)
-SELECT scope, standard, difficulty, type, row_number() OVER (PARTITION BY scope, standard, difficulty, type ORDER BY first_at) - 1 AS pos, rule FROM k
+  coalesce(arg_max(rule, pos) FILTER (WHERE src = 0), arg_min(rule, pos) FILTER (WHERE src = 1)) AS rule FROM u GROUP BY ALL)
+SELECT scope, standard, difficulty, type, row_number() OVER (PARTITION BY scope, standard, difficulty, type ORDER BY first_at) - 1 AS pos, rule FROM g
 UNION ALL SELECT scope, standard, difficulty, type, pos, rule FROM o WHERE NOT EXISTS
   (SELECT 1 FROM t WHERE t.scope = o.scope AND t.standard IS NOT DISTINCT FROM o.standard AND t.difficulty IS NOT DISTINCT FROM o.difficulty AND t.type IS NOT DISTINCT FROM o.type)""")
 def _(d):
@@ -111,8 +109,8 @@ def _placed(d):
     )
 
 
-def capped_rules(d):
-    """The rule store as a merge leaves it: distinct rules, short lists."""
+def merged_rules(d):
+    """The rule store as a merge leaves it: distinct rules, in order."""
     return rules.merge_rules(_placed(d), _placed(d))
 
 
@@ -143,9 +141,9 @@ def _(d):
 
 @query("h5_clear_resolved", f"""
 SELECT n.standard, n.difficulty, n.type, n.bad_ordinal, n.streak FROM [negatives] n WHERE NOT EXISTS
-  (SELECT 1 FROM [eval_rows] e WHERE e.score >= 0.85 AND e.round >= 30 AND e.standard = n.standard AND e.difficulty = n.difficulty AND e.type = n.type)""")
+  (SELECT 1 FROM [eval_rows] e WHERE e.score >= 0.85 AND e.standard = n.standard AND e.difficulty = n.difficulty AND e.type = n.type)""")
 def _(d):
-    return rules.clear_resolved(d.view("negatives"), d.view("eval_rows").filter("round >= 30"))
+    return rules.clear_resolved(d.view("negatives"), d.view("eval_rows"))
 
 
 def prompts(d):
@@ -155,14 +153,14 @@ def prompts(d):
     )
     negatives = d.view("negatives").withColumn("bad_question", F.concat(F.lit("row "), F.col("bad_ordinal").cast("string"))).withColumn("bad_answer", F.lit("A"))
     standards = items.groupBy("standard").agg(F.min("question").alias("standard_description"))
-    return rules.build_prompts(items.select("standard", "difficulty", "type"), standards, capped_rules(d), negatives.drop("bad_ordinal"), seeds)
+    return rules.build_prompts(items.select("standard", "difficulty", "type"), standards, merged_rules(d), negatives.drop("bad_ordinal"), seeds)
 
 
 _PROMPT_FACTS = f"""
 WITH p AS (SELECT DISTINCT {KEYS} FROM [items]), x AS (SELECT i.ordinal, i.standard, i.difficulty, i.type FROM [items] i JOIN [eval_rows] e ON e.ordinal = i.ordinal WHERE e.score >= 0.95),
 ex AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.standard = p.standard AND x.difficulty = p.difficulty AND x.type = p.type) THEN (SELECT count(*) FROM x WHERE x.standard = p.standard AND x.difficulty = p.difficulty AND x.type = p.type)
   WHEN EXISTS (SELECT 1 FROM x WHERE x.standard = p.standard AND x.type = p.type) THEN (SELECT count(*) FROM x WHERE x.standard = p.standard AND x.type = p.type) ELSE 2 END AS n FROM p),
-ru AS (SELECT p.*, (SELECT least(3, count(DISTINCT lower(rule))) FROM [rules] r WHERE r.scope = 'standard' AND r.standard = p.standard) + (SELECT least(3, count(DISTINCT lower(rule))) FROM [rules] r WHERE r.scope = 'standard_difficulty' AND r.standard = p.standard AND r.difficulty = p.difficulty AND r.type = p.type) AS n FROM p)
+ru AS (SELECT p.*, (SELECT count(DISTINCT lower(rule)) FROM [rules] r WHERE r.scope = 'standard' AND r.standard = p.standard) + (SELECT count(DISTINCT lower(rule)) FROM [rules] r WHERE r.scope = 'standard_difficulty' AND r.standard = p.standard AND r.difficulty = p.difficulty AND r.type = p.type) AS n FROM p)
 SELECT p.standard, p.difficulty, p.type, least(ex.n, 2) AS n_examples, ru.n AS n_rules, (SELECT streak FROM [negatives] n WHERE n.standard = p.standard AND n.difficulty = p.difficulty AND n.type = p.type) AS streak
 FROM p JOIN ex USING ({KEYS}) JOIN ru USING ({KEYS})"""
 
@@ -170,8 +168,8 @@ FROM p JOIN ex USING ({KEYS}) JOIN ru USING ({KEYS})"""
 @query("h6_build_prompts", _PROMPT_FACTS)
 def _(d):
     got = prompts(d)
-    streak = F.nullif(F.regexp_extract("user_prompt", r"NEGATIVE EXAMPLE \(failed (\d+)x\)", 1), F.lit("")).cast("long")
-    shown = F.size(F.split("system_prompt", r"(?m)^Example \d:\nUser: ")) - 1
+    streak = F.nullif(F.regexp_extract("user_prompt", r"scored too low (\d+) times\)", 1), F.lit("")).cast("long")
+    shown = F.size(F.split("system_prompt", r"(?m)^### Sample \d+\nRequest: ")) - 1
     return got.select("standard", "difficulty", "type", shown.cast("long").alias("n_examples"), "n_rules", streak.alias("streak"))
 
 

@@ -62,11 +62,11 @@ def _(d):
 @query("g5_best_fallback", f"""
 WITH {_FAILED}, r AS (SELECT e.ordinal, e.standard, e.difficulty, coalesce(score, 0) AS score,
   row_number() OVER (PARTITION BY e.standard, e.difficulty ORDER BY coalesce(score, 0) DESC, ordinal) AS rn
-  FROM [eval_rows] e SEMI JOIN f ON e.standard = f.standard AND e.difficulty = f.difficulty WHERE round <= 3)
+  FROM [eval_rows] e SEMI JOIN f ON e.standard = f.standard AND e.difficulty = f.difficulty)
 SELECT ordinal, standard, difficulty, score FROM r WHERE rn = 1 AND score >= 0.85""")
 def _(d):
-    rows = d.view("eval_rows").select("ordinal", "standard", "difficulty", "score", "round")
-    return ranks.best_fallback(rows.filter("round <= 3"), joins.failed_keys(rows)).drop("round")
+    rows = d.view("eval_rows").select("ordinal", "standard", "difficulty", "score")
+    return ranks.best_fallback(rows, joins.failed_keys(rows))
 
 
 @query("g6_progress_track", """
@@ -138,6 +138,18 @@ def _(d):
     return ranks.rate_limit_alerts(rows, ["model"], window_s=1800)
 
 
+@query("g11_cooldown_alerts", """
+WITH RECURSIVE c AS (SELECT event_id, model, ts, count(*) OVER (PARTITION BY model ORDER BY ts RANGE BETWEEN INTERVAL 1800 SECONDS PRECEDING AND CURRENT ROW) AS n_recent
+           FROM [failure_log]),
+a AS (SELECT model, ts, min(event_id) AS event_id, min(n_recent) AS n_recent FROM c WHERE n_recent >= 3 GROUP BY model, ts),
+chain AS (SELECT model, min(ts) AS ts FROM a GROUP BY model
+  UNION ALL SELECT n.model, (SELECT min(ts) FROM a WHERE a.model = n.model AND a.ts >= n.ts + INTERVAL 600 SECONDS) FROM chain n WHERE n.ts IS NOT NULL)
+SELECT event_id, model, ts, n_recent, ts + INTERVAL 600 SECONDS AS cooldown_until FROM a SEMI JOIN chain USING (model, ts)""")
+def _(d):
+    rows = d.view("failure_log").select("event_id", "model", "ts")
+    return ranks.after_cooldown(ranks.rate_limit_alerts(rows, ["model"], window_s=1800, cooldown_s=600), ["model"], cooldown_s=600)
+
+
 @query("g12_recent_n", "SELECT event_id, ts, model, reason FROM [failure_log] ORDER BY ts DESC, event_id DESC LIMIT 10")
 def _(d):
     return ranks.recent_n(d.view("failure_log"), 10).select("event_id", "ts", "model", "reason")

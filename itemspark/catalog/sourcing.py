@@ -190,12 +190,18 @@ def _(d):
 WITH k AS (SELECT scope, CASE WHEN scope = 'global' THEN NULL ELSE standard END AS standard, CASE WHEN scope = 'standard_difficulty' THEN difficulty END AS difficulty,
   CASE WHEN scope = 'standard_difficulty' THEN type END AS type, pos, rule FROM [rules]),
 g AS (SELECT scope, standard, difficulty, type, min(pos) AS pos, arg_max(rule, pos) AS rule FROM k GROUP BY scope, standard, difficulty, type, lower(rule)),
-c AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY scope, standard, difficulty, type ORDER BY pos DESC) <= CASE WHEN scope = 'global' THEN 10 ELSE 3 END)
-SELECT scope, standard, difficulty, type, row_number() OVER (PARTITION BY scope, standard, difficulty, type ORDER BY pos) - 1 AS pos, rule FROM c""")
-def _(d):
-    from itemspark.catalog.prompting import capped_rules
-
-    return documents.read_rules(documents.rule_docs(capped_rules(d)).select("value"))
+c AS (SELECT scope, standard, difficulty, type, row_number() OVER (PARTITION BY scope, standard, difficulty, type ORDER BY pos) - 1 AS pos, rule FROM g)
+SELECT scope, standard, difficulty, type, pos, rule, CAST(NULL AS BIGINT) AS streak FROM c
+UNION ALL SELECT 'negative', standard, difficulty, type, 0, concat('row ', bad_ordinal), streak FROM [negatives]""")
+def _(d):
+    from itemspark.catalog.prompting import merged_rules
+
+    shown = F.concat(F.lit("row "), F.col("bad_ordinal").cast("string")).alias("bad_question")
+    negatives = d.view("negatives").select("standard", "difficulty", "type", shown, F.lit("A").alias("bad_answer"), "streak")
+    docs = documents.rule_docs(merged_rules(d), negatives).select("value")
+    own = documents.read_negatives(docs)
+    told = own.select(F.lit("negative").alias("scope"), "standard", "difficulty", "type", F.lit(0).cast("long").alias("pos"), F.col("bad_question").alias("rule"), "streak")
+    return documents.read_rules(docs).withColumn("streak", F.lit(None).cast("long")).unionByName(told)
 
 
 @query("a12_export_payload", """

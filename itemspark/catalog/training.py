@@ -117,19 +117,16 @@ def _(d):
 
 
 @query("b13_score_remarks", """
-SELECT event_id, CASE WHEN event_id % 2 = 1 THEN reason
-  WHEN contains(lower(reason), 'timeout') OR contains(lower(reason), 'timed out') THEN 'timeout' WHEN contains(reason, '429') THEN 'rate_limit'
-  WHEN regexp_matches(reason, '500|502|503|504') THEN 'server_error' ELSE reason END AS remark FROM [failure_log] WHERE NOT regexp_matches(lower(reason),
-  'distract|option|implaus|answer choice|explanation|rationale|alignment|standard|curriculum|unclear|confus|ambig|grammar|mislabel|difficulty level|too easy|too hard|missing|lack|absent|do not exist')""")
+WITH l AS (SELECT event_id, reason, lower(reason) AS x FROM [failure_log]),
+c AS (SELECT event_id, reason, x, concat_ws('|', CASE WHEN regexp_matches(x, 'distract|option|implaus|answer choice') THEN 'options' END, CASE WHEN regexp_matches(x, 'explanation|rationale') THEN 'explanation' END,
+  CASE WHEN regexp_matches(x, 'alignment|standard|curriculum|does not align') THEN 'alignment' END, CASE WHEN regexp_matches(x, 'unclear|confus|ambig|grammar|ungrammat') THEN 'wording' END,
+  CASE WHEN regexp_matches(x, 'mislabel|difficulty level|too easy|too hard') THEN 'difficulty' END, CASE WHEN regexp_matches(x, 'missing|lack|absent|do not exist') THEN 'missing' END) AS k FROM l)
+SELECT event_id, CASE WHEN event_id % 2 = 1 THEN CASE WHEN k <> '' THEN k ELSE reason END
+  WHEN contains(x, 'timeout') OR contains(x, 'timed out') THEN 'timeout' WHEN contains(reason, '429') THEN 'rate_limit'
+  WHEN regexp_matches(reason, '500|502|503|504') THEN 'server_error' ELSE reason END AS remark FROM c""")
 def _(d):
-    got = remarks(d)
-    named = F.size(F.filter(F.array(*[F.contains(F.lower("reason"), F.lit(k)) for _, keys in V.LOW_SCORE_CAUSES for k in keys]), lambda x: x)) > 0
-    return got.filter(~named).select("event_id", "remark")
-
-
-def remarks(d):
     status = F.when(F.col("event_id") % 2 == 0, "error").otherwise("ok")
-    return d.view("failure_log").select("event_id", "reason", F.array_join(classes.score_remarks(status, F.col("reason"), F.col("reason")), "|").alias("remark"))
+    return d.view("failure_log").select("event_id", F.array_join(classes.score_remarks(status, F.col("reason"), F.col("reason")), "|").alias("remark"))
 
 
 @query("b15_money", """
@@ -218,59 +215,56 @@ _TOKENS = f"regexp_split_to_array({{c}}, '{_WS.replace('{', '{{').replace('}', '
 _VOCAB = """v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM (SELECT token, count(*) AS n FROM w GROUP BY token))"""
 
 
+# a row is padded to the end of its bucket of 64 tokens
 @query("i4_encode_sft", f"""
 WITH t AS (SELECT doc_id, list_filter({_TOKENS.format(c='text')}, lambda x: x <> '') AS toks FROM documents),
 w AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM t), {_VOCAB},
-e AS (SELECT w.doc_id, w.pos, v.id FROM w JOIN v USING (token) WHERE pos <= 256)
-SELECT t.doc_id, coalesce(count(e.id), 0) AS n_real, CAST(coalesce(sum(e.id * e.pos), 0) AS BIGINT) AS checksum, 256 - coalesce(count(e.id), 0) AS n_ignored FROM t LEFT JOIN e ON e.doc_id = t.doc_id GROUP BY t.doc_id""")
+e AS (SELECT w.doc_id, count(*) AS n, CAST(sum(v.id * w.pos) AS BIGINT) AS s, max(v.id) AS top FROM w JOIN v USING (token) GROUP BY w.doc_id)
+SELECT t.doc_id, coalesce(n, 0) AS n_real, coalesce(s, 0) AS checksum, coalesce(s, 0) - 100 * ((64 - coalesce(n, 0) % 64) % 64) AS label_sum, coalesce(top, 0) AS top,
+  (64 - coalesce(n, 0) % 64) % 64 AS n_ignored FROM t LEFT JOIN e ON e.doc_id = t.doc_id""")
 def _(d):
-    return encoded_texts(d, 256)
-
-
-def most_tokens(texts):
-    """Tokens of the longest text."""
-    return texts.agg(F.max(F.size(text.words(F.col("text"))))).first()[0] or 1
-
-
-def encoded_texts(d, max_len=None):
     docs = d.table("documents").select("doc_id", "text")
-    got = training.encode_sft(docs, ["doc_id"], training.build_vocabulary(docs), max_len=max_len or most_tokens(docs))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    weighted = F.transform(F.col("input_ids"), lambda x, i: x * (i + 1))
+    got = training.encode_sft(docs, ["doc_id"], training.build_vocabulary(docs), pad_to=64)
+    labels = F.zip_with("labels", F.sequence(F.lit(1), F.size("labels")), lambda x, i: F.when(x == -100, x).otherwise(x * i))
     return got.select(
-        "doc_id", total(F.transform("attention_mask", lambda x: x.cast("long"))).alias("n_real"), total(weighted).alias("checksum"),
+        "doc_id", _total(F.transform("attention_mask", lambda x: x.cast("long"))).alias("n_real"), _checksum("input_ids").alias("checksum"),
+        _total(F.when(F.size("labels") > 0, labels).otherwise(F.col("labels"))).alias("label_sum"), F.coalesce(F.array_max("input_ids"), F.lit(0)).alias("top"),
         F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("n_ignored"),
     )
 
 
+def _total(a):
+    return F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+
+
+def _checksum(ids):
+    return _total(F.transform(ids, lambda x, i: x * (i + 1)))
+
+
 @query("i5_encode_dpo", f"""
 WITH p AS (SELECT conv_id, prompt, chosen, rejected FROM [pairs] WHERE rejected IS NOT NULL),
 l AS (SELECT conv_id, 'prompt' AS side, prompt AS x FROM p UNION ALL SELECT conv_id, 'chosen', chosen FROM p UNION ALL SELECT conv_id, 'rejected', rejected FROM p),
 t AS (SELECT conv_id, side, list_filter({_TOKENS.format(c='x')}, lambda y: y <> '') AS toks FROM l),
 w AS (SELECT conv_id, side, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM t), {_VOCAB},
-e AS (SELECT conv_id, side, sum(v.id * pos) AS s FROM w JOIN v USING (token) WHERE pos <= 128 GROUP BY ALL)
-SELECT conv_id, CAST(max(CASE WHEN side = 'prompt' THEN s END) AS BIGINT) AS prompt, CAST(max(CASE WHEN side = 'chosen' THEN s END) AS BIGINT) AS chosen,
-  CAST(max(CASE WHEN side = 'rejected' THEN s END) AS BIGINT) AS rejected FROM e GROUP BY conv_id""")
+e AS (SELECT conv_id, side, sum(v.id * pos) AS s, count(*) AS n FROM w JOIN v USING (token) GROUP BY ALL),
+a AS (SELECT t.conv_id, t.side, CAST(coalesce(e.s, 0) AS BIGINT) AS s, coalesce(e.n, 0) AS n FROM t LEFT JOIN e ON e.conv_id = t.conv_id AND e.side = t.side)
+SELECT conv_id, max(s) FILTER (side = 'prompt') AS prompt, max(s) FILTER (side = 'chosen') AS chosen, max(s) FILTER (side = 'rejected') AS rejected,
+  max(n) FILTER (side = 'prompt') AS prompt_mask, max(n) FILTER (side = 'chosen') AS chosen_mask, max(n) FILTER (side = 'rejected') AS rejected_mask FROM a GROUP BY conv_id""")
 def _(d):
-    return encoded_pairs(d, 128)
-
-
-def encoded_pairs(d, max_len=None):
     p = d.view("pairs").filter("rejected is not null").select("conv_id", "prompt", "chosen", "rejected")
     texts = p.select(F.explode(F.array("prompt", "chosen", "rejected")).alias("text"))
-    got = training.encode_dpo(p, "conv_id", training.build_vocabulary(texts), max_len=max_len or most_tokens(texts))
-    total = lambda c: F.aggregate(F.transform(F.col(f"{c}_input_ids"), lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda x, y: x + y).alias(c)
-    return got.select("conv_id", total("prompt"), total("chosen"), total("rejected"))
+    got = training.encode_dpo(p, "conv_id", training.build_vocabulary(texts), pad_to=64)
+    masks = [_total(F.transform(f"{c}_attention_mask", lambda x: x.cast("long"))).alias(f"{c}_mask") for c in ("prompt", "chosen", "rejected")]
+    return got.select("conv_id", *[_checksum(f"{c}_input_ids").alias(c) for c in ("prompt", "chosen", "rejected")], *masks)
 
 
 @query("i6_augment_to", """
-SELECT false AS is_added, count(*) AS n, count(DISTINCT lang) AS n_langs FROM documents UNION ALL SELECT true, 4000 - count(*), 3 FROM documents HAVING count(*) < 4000""")
+SELECT false AS is_added, count(*) AS n, count(DISTINCT lang) AS n_langs FROM documents
+UNION ALL SELECT true, CAST(ceil(count(*) / 4) AS BIGINT), 3 FROM documents""")
 def _(d):
-    return augmented(d.table("documents").select("text", "lang"), 4000)
-
-
-def augmented(docs, target):
-    return training.augment_to(docs, target, {"lang": ["x", "y", "z"]}).groupBy("is_added").agg(
+    docs = d.table("documents").select("text", "lang")
+    n = docs.count()
+    return training.augment_to(docs, n + -(-n // 4), {"lang": ["x", "y", "z"]}).groupBy("is_added").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("lang").alias("n_langs")
     )
 

@@ -86,14 +86,18 @@ def _(d):
 
 
 # answers are words of the text itself, so all are found; every second one is altered
-@query("d3_passage_membership", """
-WITH t AS (SELECT doc_id AS ordinal, lower(regexp_extract(text, '[A-Za-z]+', 0)) AS w, text FROM documents)
-SELECT ordinal, CASE WHEN length(text) > 60 AND w <> '' AND ordinal % 2 = 1 THEN true ELSE false END AS not_in_passage FROM t WHERE length(text) > 60""")
-def _(d):
-    return first_word_lacking(d.table("documents").filter(F.length("text") > 60))
+_INSTRUCTION = " OR ".join(f"starts_with(lower(x), '{s}')" for s in V.INSTRUCTION_STARTS)
 
 
-def first_word_lacking(docs):
+@query("d3_passage_membership", f"""
+WITH t AS (SELECT doc_id AS ordinal, lower(regexp_extract(text, '[A-Za-z]+', 0)) AS w, text FROM documents),
+l AS (SELECT ordinal, w, list_transform(string_split(concat('Which word from the text fits?', chr(10), w, chr(10), text), chr(10)),
+        lambda x: regexp_replace(x, '^{_WS}|{_WS}$', '', 'g')) AS ls FROM t),
+p AS (SELECT ordinal, w, concat(' ', regexp_replace(concat(' ', array_to_string(list_transform(list_filter(ls, lambda x: x <> '' AND NOT ({_INSTRUCTION}) AND NOT starts_with(x, '**')),
+        lambda x: regexp_replace(lower(regexp_replace(x, '__{{2,}}', ' ', 'g')), '{V.PUNCTUATION.replace("'", "''")}', ' ', 'g')), ' ')), '{_WS}', ' ', 'g'), ' ') AS passage FROM l)
+SELECT ordinal, w <> '' AND length(passage) > 40 AND ordinal % 2 = 1 AS not_in_passage FROM p""")
+def _(d):
+    docs = d.table("documents")
     word = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
     entry = F.when(word == "", F.lit("")).when(F.col("doc_id") % 2 == 1, F.concat(word, F.lit("qzxv"))).otherwise(word)
     # a line of its own keeps the word whole once punctuation is blanked
@@ -106,16 +110,12 @@ def first_word_lacking(docs):
 
 
 @query("d5_answer_giveaway", f"""
-WITH i AS (SELECT doc_id AS ordinal, concat(text, CASE WHEN doc_id % 2 = 0 THEN ' zebra ______.' ELSE ' ______ zebra.' END, CASE WHEN doc_id % 3 = 0 THEN ' Word bank: zebra' ELSE '' END) AS question FROM documents WHERE lang = 'en')
+WITH i AS (SELECT doc_id AS ordinal, concat(text, CASE WHEN doc_id % 2 = 0 THEN ' zebra ______.' ELSE ' ______ zebra.' END, CASE WHEN doc_id % 3 = 0 THEN ' Word bank: zebra' ELSE '' END) AS question FROM documents)
 SELECT ordinal, NOT regexp_matches(regexp_replace(question, '[*_]', '', 'g'), '(?is)word\\s*bank\\s*:\\s*zebra') AS beside FROM i""")
 def _(d):
-    return beside_blank(d.table("documents").filter("lang = 'en'"))
-
-
-def beside_blank(docs):
     blank = F.when(F.col("doc_id") % 2 == 0, " zebra ______.").otherwise(" ______ zebra.")
     offer = F.when(F.col("doc_id") % 3 == 0, " Word bank: zebra").otherwise("")
-    rows = docs.select(
+    rows = d.table("documents").select(
         F.col("doc_id").alias("ordinal"), F.concat("text", blank, offer).alias("_q"), F.lit("Zebra").alias("_ans")
     )
     return rows.select("ordinal", validate.answer_beside_blank().alias("beside"))

@@ -10,11 +10,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from itemspark.skew import on_all_cores
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 ]
 
+TEXT_TABLES = ["documents", "conversations", "pages"]
+
 VIEWS: dict[str, str] = {}
 
 VIEWS["eval_rows"] = """
@@ -190,7 +194,9 @@ class Data:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # long texts cost far more to work on than to move: a file of one row group must not keep them on one core
+        return on_all_cores(rows) if name in TEXT_TABLES else rows
 
     def sql(self, text: str) -> DataFrame:
         used = {t: self.table(t) for t in TABLES if "{%s}" % t in text}

@@ -372,7 +372,11 @@ def multi_model_summary(rounds: DataFrame, target: float, by: Sequence[str] = ("
 
 
 def cycle_report(cycles: DataFrame, by: Sequence[str] = ("grade",)) -> DataFrame:
-    """First-round pass rate of all cycles in order (``first_rates``), their mean, the trend, and repair rounds."""
+    """First-round pass rate of all cycles in order (``first_rates``), their mean, the trend, and repair rounds.
+
+    A first round without a rate is null there and left out of the mean; the
+    trend is null when the first or the last cycle has no first-round rate.
+    """
     first = cycles.groupBy(*by, "cycle").agg(
         F.min_by("pass_rate", "inner_round").alias("first_rate"), (F.max("inner_round") - 1).alias("repairs")
     )

@@ -33,8 +33,9 @@ ROWS = [
             ("We painted the fence.", "We paint the fence.", "We will paint the fence.", "We cleaned the yard."),
             "Options A and D tell about finished actions."),
     _blank("L", "1", "Yesterday the baker ______ twelve loaves of bread.", "baked", ["baked", "made", "sold"]),
-    _choice("L", "2", "mcq", "Which word is spelled correctly?", "C", ("freind", "frend", "friend", "freend"),
-            "Option C is the correct spelling."),
+    _choice("L", "2", "mcq", "Which line ends with the mark that a question needs?", "C",
+            ("Where is my coat.", "Where is my coat!", "Where is my coat?", "Where is my coat,"),
+            "Option C closes with a question mark, as every question does."),
     _choice("L", "2", "msq", "Which sentences use capital letters correctly? Select all that apply.", "A,C",
             ("Our teacher is Ms. Rivera.", "our teacher is Ms. Rivera.", "We visited Boston in May.", "We visited boston in may."),
             "Options A and C capitalize the sentence start and the names."),
@@ -43,7 +44,7 @@ ROWS = [
             ("very small", "very loud", "very old", "very bright"), "Option A: an ant is very small."),
     _choice("L", "4", "msq", "Which words have a prefix that means 'not'? Select all that apply.", "B,C",
             ("replay", "unkind", "impossible", "preview"), "Options B and C start with 'un' and 'im'."),
-    _blank("L", "4", "A word that means the opposite of 'cold' is ______.", "hot", ["hot", "warm"]),
+    _blank("L", "4", "Someone who paints pictures for a living is called a ______.", "painter", ["painter", "Painter"]),
     _choice("RL", "", "mcq", "Mia hid her drawing, then smiled when the class clapped for it. How does Mia feel at the end?", "D",
             ("angry", "sleepy", "bored", "proud"), "Option D: she smiles because others like her work, so she is proud."),
     _choice("RL", "", "msq", "Sam shared his lunch and helped Leo find his cap. Which traits does Sam show? Select all that apply.", "A,B",
@@ -54,7 +55,7 @@ ROWS = [
             "Option A states what both parts of the text explain."),
     _choice("RI", "", "msq", "Which text features help a reader find facts in a book? Select all that apply.", "A,B",
             ("index", "headings", "cover color", "paper size"), "Options A and B point the reader to facts."),
-    _blank("RI", "", "What a text is mostly about is called its main ______.", "idea", ["idea", "topic", "point"]),
+    _blank("RI", "", "At the back of a science book, hard words are explained in the ______.", "glossary", ["glossary", "Glossary"]),
     _choice("RF", "", "mcq", "Which word has the same vowel sound as 'cake'?", "B", ("cat", "rain", "car", "call"),
             "Option B has the long a sound."),
     _choice("RF", "", "msq", "Which words have two syllables? Select all that apply.", "A,C", ("garden", "house", "winter", "tree"),
@@ -64,7 +65,7 @@ ROWS = [
             ("look away", "start a new topic", "wait for a turn", "leave the room"), "Option C keeps the talk polite."),
     _choice("SL", "", "msq", "Which actions show good listening? Select all that apply.", "A,B",
             ("facing the speaker", "nodding", "humming", "drawing on the desk"), "Options A and B show attention."),
-    _blank("SL", "", "When others talk in a discussion, a good listener stays ______.", "quiet", ["quiet", "silent"]),
+    _blank("SL", "", "Two days before her speech, Ana went over it aloud to ______.", "practice", ["practice", "rehearse", "prepare"]),
     _choice("W", "", "mcq", "Which sentence gives an opinion?", "A",
             ("Summer is the best season.", "Summer has three months.", "July follows June.", "The sun sets late in July."),
             "Option A tells what the writer thinks."),

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from itemspark import skew
 from itemspark.functions import classes
@@ -90,15 +91,15 @@ def replace_by_key(existing: DataFrame, new: DataFrame, keys: Sequence[str] = PA
     return new.unionByName(kept)
 
 
-def merge_partial_run(best: DataFrame, new: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+def merge_partial_run(best: DataFrame, new: DataFrame, keys: Sequence[str] = KEY, partial: bool = True) -> DataFrame:
     """Complete a run that only redid some keys from the best run so far.
 
-    When the new run is the smaller one, best rows of other keys are kept with
-    their score and the new rows are still to be scored; otherwise the new run stands.
+    Best rows of other keys are kept with their score, and the new rows are still
+    to be scored. A run over all keys (``partial`` false) stands alone.
     """
-    sizes = best.agg(F.count(F.lit(1)).alias("b")), new.agg(F.count(F.lit(1)).alias("n"))
-    partial = sizes[1].scalar() < sizes[0].scalar()
-    kept = best.filter(partial).join(new.select(*keys).distinct(), list(keys), "left_anti")
+    if not partial:
+        best = best.limit(0)
+    kept = best.join(new.select(*keys).distinct(), list(keys), "left_anti")
     fresh = new.withColumn("score", F.lit(None).cast("double")).withColumn("to_score", F.lit(True))
     return kept.withColumn("to_score", F.col("score").isNull()).unionByName(fresh)
 
@@ -126,20 +127,30 @@ LEVELS = [("standard", "difficulty", "type"), ("standard", "type"), ("difficulty
 def retrieve_examples(plan: DataFrame, examples: DataFrame, k: int = 2) -> DataFrame:
     """Top ``k`` examples per plan key from the closest level that has any.
 
-    Each level is an equi-join with at most k examples per level key. The last
-    level ignores type and score and keeps input order.
+    The examples are read once: each stands under its key of every level, which
+    is blank in the columns the level leaves out, and at most k per level key
+    are kept before the one join. The last level ignores type and score and
+    keeps input order.
     """
-    keys = plan.select(*KEY).distinct()
     cols = [c for c in examples.columns if c not in KEY]
-    found = None
-    for level, on in enumerate(LEVELS, start=1):
-        order = ["ordinal"] if level == len(LEVELS) else ["-score", "ordinal"]
-        best = skew.top_rows(examples, on, order, k, out="rank")
-        best = best.select(*on, F.struct(*cols, *[F.col(c).alias(f"example_{c}") for c in KEY]).alias("e"), "rank")
-        hits = keys.join(best, list(on)).select(*KEY, F.lit(level).cast("long").alias("level"), "rank", "e.*")
-        found = hits if found is None else found.unionByName(hits)
-    closest = found.groupBy(*KEY).agg(F.min("level").alias("level"))
-    return found.join(closest, [*KEY, "level"])
+    places = [f"_{c}" for c in KEY]
+
+    def under_levels(rows: DataFrame, *more: Column) -> DataFrame:
+        def place(level: int, on: Sequence[str]) -> Column:
+            own = [(F.col(c) if c in on else F.lit("")).alias(p) for c, p in zip(KEY, places, strict=True)]
+            return F.when(F.forall(F.array(*[F.col(c) for c in on]), lambda c: c.isNotNull()), F.struct(F.lit(level).cast("long").alias("level"), *own))
+
+        listed = F.filter(F.array(*[place(i, on) for i, on in enumerate(LEVELS, start=1)]), lambda x: x.isNotNull())
+        return rows.select(*more, F.explode(listed).alias("_x")).select("*", "_x.*").drop("_x")
+
+    told = F.struct(*cols, *[F.col(c).alias(f"example_{c}") for c in KEY]).alias("e")
+    listed = under_levels(examples, told, F.col("score").alias("_score"), F.col("ordinal").alias("_ordinal"))
+    listed = listed.withColumn("_score", F.when(F.col("level") < len(LEVELS), F.col("_score")))
+    best = skew.top_rows(listed, ["level", *places], ["-_score", "_ordinal"], k, out="rank").drop("_score", "_ordinal")
+    keys = under_levels(plan.select(*KEY).distinct(), *map(F.col, KEY))
+    found = keys.join(best, ["level", *places]).select(*KEY, "level", "rank", "e.*")
+    closest = F.min("level").over(W.partitionBy(*KEY))
+    return found.withColumn("_closest", closest).filter("level = _closest").drop("_closest")
 
 
 def lookup_rules(plan: DataFrame, rules: DataFrame) -> DataFrame:

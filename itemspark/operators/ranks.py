@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from itemspark import skew
 from itemspark.functions import fixed_values as V
 from itemspark.functions.text import seeded_order
+from itemspark.session import durable
 
 KEY = ("standard", "difficulty", "type")
 
@@ -204,6 +205,49 @@ def rate_limit_alerts(
     )
 
 
+def after_cooldown(alerts: DataFrame, keys: Sequence[str], ts: str = "ts", cooldown_s: int = 30, order: Sequence[str] = ("event_id",)) -> DataFrame:
+    """The alerts that are raised when each one silences its key until ``cooldown_s`` later.
+
+    Of alerts at one moment the first by ``order`` counts. An alert at least the
+    pause after the one before it is always raised and starts a chain; in a
+    chain, the next raised alert is the first one after the pause. Chains are
+    followed by pointer doubling: a round reaches twice as far as all before it,
+    so a key's alerts are never walked in one task. Neighbours in time are found
+    in stretches of a key that overlap by two pauses.
+    """
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
+    pause = cooldown_s * 1_000_000
+    step = max(100 * pause, 1)
+    named = alerts.withColumn("_us", us)
+    moments = named.filter(F.col(ts).isNotNull()).select(*keys, "_us").distinct()
+    own = F.floor(F.col("_us") / step)
+    ends = F.sequence(F.floor((F.col("_us") - 2 * pause) / step), F.floor((F.col("_us") + 2 * pause) / step))
+    spread = moments.withColumn("_part", F.explode(ends))
+    place = W.partitionBy(*keys, "_part").orderBy("_us")
+    before = F.max("_us").over(place.rangeBetween(-pause + 1, -1)) if pause > 1 else F.lit(None).cast("long")
+    after = F.min("_us").over(place.rangeBetween(max(pause, 1), 2 * max(pause, 1)))
+    linked = spread.withColumns({"_before": before, "_next": after}).filter(F.col("_part") == own)
+    nodes = durable(linked.select(*keys, "_us", F.col("_before").isNull().alias("_head"), "_next"))
+    reached = nodes.filter("_head").select(*keys, "_us")
+    jumps = nodes.filter("_next IS NOT NULL").select(*keys, "_us", "_next")
+    while True:
+        told = reached.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_us").alias("_at"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        landed = jumps.join(told, [*same, F.col("_us") == F.col("_at")], "left_semi").select(*keys, F.col("_next").alias("_us"))
+        wider = durable(reached.unionByName(landed).distinct())
+        if wider.count() == reached.count():
+            break
+        reached = wider
+        further = jumps.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_us").alias("_at"), F.col("_next").alias("_then"))
+        jumps = durable(jumps.join(further, [*same, F.col("_next") == F.col("_at")]).select(*keys, "_us", F.col("_then").alias("_next")))
+    first = named.groupBy(*keys, "_us").agg(F.min(F.struct(*order)).alias("_first"))
+    raised = reached.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_us").alias("_at"))
+    chosen = first.join(raised, [*same, F.col("_us") == F.col("_at")], "left_semi")
+    chosen = chosen.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_us").alias("_at"), "_first")
+    out = named.join(chosen, [*same, F.col("_us") == F.col("_at"), F.struct(*order).eqNullSafe(F.col("_first"))], "left_semi")
+    return out.select(*alerts.columns)
+
+
 def recent_n(df: DataFrame, n: int = 10, order: Sequence[str] = ("-ts", "-event_id")) -> DataFrame:
     """The newest ``n`` rows."""
     return df.orderBy(*skew.ordering(order)).limit(n)

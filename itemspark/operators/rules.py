@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from itemspark.functions.text import has_any, one_line, short_standard, snippet,
 from itemspark.operators.joins import KEY, lookup_negatives, lookup_rules, retrieve_examples
 
 Theme = tuple[Sequence[str], str]
+_PLACE = ["scope", "standard", "difficulty", "type"]
 
 
 def failure_feedback(rows: DataFrame, passing: float = V.PASS_SCORE, reason_chars: int | None = None) -> DataFrame:
@@ -66,43 +68,36 @@ def dimension_theme_rules(dim_feedback: DataFrame, themes: dict[str, Sequence[Th
     return flags.select(F.explode(entries).alias("e")).filter("e.hit").select("e.pos", "e.dim", "e.rule")
 
 
-def _first_rules(rows: DataFrame, keys: Sequence[str], cap: int | None) -> DataFrame:
-    """Distinct rules per key by first appearance, at most ``cap`` if there is one; ``pos`` counts from 0."""
-    once = rows.groupBy(*keys, "rule").agg(F.min("ordinal").alias("_at"))
-    if cap is None:
-        top = once.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy("_at", "rule")).cast("long"))
-    else:
-        top = skew.top_rows(once, keys, ["_at", "rule"], cap, out="pos")
-    return top.withColumn("pos", F.col("pos") - 1).drop("_at")
-
-
 def keyed_rules(
     feedback: DataFrame, example_keys: DataFrame | None = None, specific: DataFrame | None = None, per_standard: int | None = None,
     per_key: int | None = None, snippet_chars: int | None = None,
 ) -> DataFrame:
     """Rules per standard, and per full key for keys that already have an example.
 
-    ``specific`` (standard, rule_no, rule) holds fixed rules of a standard; they
-    go in front, the last one first.
+    Distinct rules in the order they first appear; ``pos`` counts from 0, and is
+    below ``per_standard`` and ``per_key`` where those are given. ``specific``
+    (standard, rule_no, rule) holds fixed rules of a standard; they go in front,
+    the last one first. The feedback is read once for both kinds.
     """
-    rows = _snippets(feedback, snippet_chars).select(*KEY, "ordinal", "rule")
-    by_standard = rows.select("standard", "ordinal", "rule")
+    none = F.lit(None).cast("string")
+    place = lambda scope, *own: F.struct(F.lit(scope).alias("scope"), *[(F.col(c) if c in own else none).alias(c) for c in KEY])
+    both = F.explode(F.array(place("standard", "standard"), place("standard_difficulty", *KEY)))
+    listed = _snippets(feedback, snippet_chars).select("ordinal", "rule", both.alias("x")).select("x.*", "ordinal", "rule")
     if specific is not None:
         failed = feedback.filter("standard <> 'unknown'").select("standard").distinct()
-        front = specific.join(failed, "standard", "left_semi").select("standard", (-1 - F.col("rule_no")).alias("ordinal"), "rule")
-        by_standard = by_standard.unionByName(front)
-    targeted = rows if example_keys is None else rows.join(
-        example_keys.select("standard", "difficulty").distinct(), ["standard", "difficulty"], "left_semi"
-    )
-    none = F.lit(None).cast("string")
-    a = _first_rules(by_standard, ["standard"], per_standard).select(
-        F.lit("standard").alias("scope"), "standard", none.alias("difficulty"), none.alias("type"), "pos", "rule"
-    )
-    b = _first_rules(targeted, list(KEY), per_key).select(F.lit("standard_difficulty").alias("scope"), *KEY, "pos", "rule")
-    return a.unionByName(b)
-
-
-_PLACE = ["scope", "standard", "difficulty", "type"]
+        front = specific.join(failed, "standard", "left_semi").select("rule", (-1 - F.col("rule_no")).alias("ordinal"), place("standard", "standard").alias("x"))
+        listed = listed.unionByName(front.select("x.*", "ordinal", "rule"))
+    once = listed.groupBy(*_PLACE, "rule").agg(F.min("ordinal").alias("_at"))
+    if example_keys is not None:
+        known = example_keys.select("standard", "difficulty").distinct().withColumn("_known", F.lit(True))
+        once = once.join(known, ["standard", "difficulty"], "left").filter("scope = 'standard' OR _known").drop("_known")
+    if per_standard is None and per_key is None:
+        numbered = once.withColumn("pos", F.row_number().over(W.partitionBy(*_PLACE).orderBy("_at", "rule")).cast("long"))
+    else:
+        parts = [(once.filter(F.col("scope") == scope), cap) for scope, cap in (("standard", per_standard), ("standard_difficulty", per_key))]
+        most = (1 << 31) - 1
+        numbered = reduce(DataFrame.unionByName, [skew.top_rows(rows, _PLACE, ["_at", "rule"], most if cap is None else cap, out="pos") for rows, cap in parts])
+    return numbered.select(*_PLACE, (F.col("pos") - 1).alias("pos"), "rule")
 
 
 def _null_safe(df: DataFrame) -> DataFrame:
@@ -110,11 +105,11 @@ def _null_safe(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.lit("")) for c in _PLACE})
 
 
-def merge_rules(existing: DataFrame, new: DataFrame, global_cap: int = 10, key_cap: int = 3) -> DataFrame:
+def merge_rules(existing: DataFrame, new: DataFrame, global_cap: int | None = None, key_cap: int | None = None) -> DataFrame:
     """Add new rules to the stored ones.
 
     Equal is equal in all letters whatever the case; the stored text
-    wins. A list over its cap keeps its end. Keys without new rules stay as they
+    wins. A list over its cap, if the caller states one, keeps its end. Keys without new rules stay as they
     are (the global list is always gone over).
     """
     cols = [*_PLACE, "pos", "rule"]
@@ -133,7 +128,7 @@ def merge_rules(existing: DataFrame, new: DataFrame, global_cap: int = 10, key_c
     kept = None
     for is_global, cap in ((True, global_cap), (False, key_cap)):
         own = flat.filter((F.col("scope") == "global") if is_global else (F.col("scope") != "global"))
-        last = skew.top_rows(own, _PLACE, ["-_src", "-_pos", "rule"], cap)
+        last = own if cap is None else skew.top_rows(own, _PLACE, ["-_src", "-_pos", "rule"], cap)
         kept = last if kept is None else kept.unionByName(last)
     place = W.partitionBy(*_PLACE).orderBy("_src", "_pos")
     numbered = kept.withColumn("pos", (F.row_number().over(place) - 1).cast("long")).select(*cols)
@@ -142,6 +137,9 @@ def merge_rules(existing: DataFrame, new: DataFrame, global_cap: int = 10, key_c
 
 
 # ---- counter-examples -------------------------------------------------------
+_WARNING = "Keep to the described skill:"
+
+
 def inject_negatives(streaks: DataFrame, items: DataFrame, rules: DataFrame, question_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(counter-examples, rules with a warning in front) for keys that keep failing.
 
@@ -159,14 +157,14 @@ def inject_negatives(streaks: DataFrame, items: DataFrame, rules: DataFrame, que
         F.col("i.standard").alias("standard"), "difficulty", "type", "i.bad_question", "i.bad_answer", "streak", words.alias("instruction"), "last_scores"
     )
     warning = F.concat(
-        F.lit("[ESCALATED "), "standard", F.lit(" "), "difficulty", F.lit(", failed "), F.col("streak").cast("string"),
-        F.lit("x] Earlier scores: "), F.array_join(F.transform("last_scores", lambda s: s.cast("string")), ", "), F.lit(". Test exactly the described skill."),
+        F.lit(f"{_WARNING} the last "), F.col("streak").cast("string"), F.lit(" items for "), "standard", F.lit(" at level "), "difficulty",
+        F.lit(" were scored too low ("), F.array_join(F.transform("last_scores", lambda s: s.cast("string")), ", "), F.lit(")."),
     )
     front = negatives.select(F.lit("standard_difficulty").alias("scope"), *KEY, F.lit(-1).cast("long").alias("pos"), warning.alias("rule"))
-    start = F.substring(F.lower(strip(F.col("rule"))), 1, 80).alias("_start")
-    stored = rules.filter("scope = 'standard_difficulty'").select(*KEY, start)
-    fresh = front.withColumn("_start", F.substring(F.lower(strip(F.col("rule"))), 1, 80)).join(stored, [*KEY, "_start"], "left_anti").drop("_start")
-    return negatives, fresh.unionByName(rules.select(*fresh.columns))
+    # a key has one warning: the newest replaces those before it
+    warned = front.select(*[F.col(c).alias(f"_{c}") for c in KEY])
+    older = [F.col("scope") == "standard_difficulty", F.startswith("rule", F.lit(_WARNING)), *[F.col(c) == F.col(f"_{c}") for c in KEY]]
+    return negatives, front.unionByName(rules.select(*front.columns).join(warned, older, "left_anti"))
 
 
 def clear_resolved(negatives: DataFrame, evaluations: DataFrame, passing: float = V.PASS_SCORE) -> DataFrame:
@@ -204,7 +202,7 @@ def _by_type(texts: dict[str, str], kind: Column, default: str = "mcq") -> Colum
 
 def _section(title: str, lines: Column) -> Column:
     bullets = F.transform(lines, lambda x: F.concat(F.lit("• "), x))
-    return F.when(F.size(lines) > 0, F.concat(F.lit(f"--- {title} ---\n"), F.array_join(bullets, "\n"), F.lit(f"\n--- END {title} ---")))
+    return F.when(F.size(lines) > 0, F.concat(F.lit(f"## {title}\n"), F.array_join(bullets, "\n")))
 
 
 def build_prompts(
@@ -234,9 +232,9 @@ def build_prompts(
     same = F.filter("_e", lambda e: e["_own"])
     used = F.when(F.size(same) > 0, same).otherwise(F.coalesce("_e", F.filter("_e", lambda e: F.lit(False))))
     texts = F.transform(
-        used, lambda e, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\nUser: "), e["user_prompt"], F.lit("\n\nAssistant:\n"), e["example_json"])
+        used, lambda e, i: F.concat(F.lit("### Sample "), (i + 1).cast("string"), F.lit("\nRequest: "), e["user_prompt"], F.lit("\nResult: "), e["example_json"])
     )
-    sample = F.when(F.size(used) > 0, F.concat(F.lit("Here are some examples:\n\n"), F.array_join(texts, "\n\n---\n\n")))
+    sample = F.when(F.size(used) > 0, F.concat(F.lit("## Samples of finished work\n"), F.array_join(texts, "\n\n")))
     system = F.concat_ws(
         "\n\n", _by_type(SYSTEM_TEXTS, kind), general.scalar(),
         F.concat(F.lit("Output schema:\n"), _by_type(SCHEMA_TEXTS, kind)), sample,
@@ -248,10 +246,10 @@ def build_prompts(
     guide = F.when(kind == "fill-in", F.when(F.col("difficulty").isin(list(FILL_IN_GUIDES)), _by_type(FILL_IN_GUIDES, F.col("difficulty"), "medium")))
     avoid = F.when(
         F.col("bad_question").isNotNull(),
-        F.concat(F.lit("--- NEGATIVE EXAMPLE (failed "), F.col("streak").cast("string"), F.lit("x) ---\nQuestion: "), "bad_question",
-                 F.concat(F.lit("\nAnswer: "), F.coalesce("bad_answer", F.lit(""))), F.lit("\n--- END NEGATIVE EXAMPLE ---")),
+        F.concat(F.lit("## Do not write it like this (scored too low "), F.col("streak").cast("string"), F.lit(" times)\nQuestion: "), "bad_question",
+                 F.concat(F.lit("\nAnswer: "), F.coalesce("bad_answer", F.lit("")))),
     )
-    best = [F.when((kind == "fill-in") & F.col("strand_example").isNotNull(), F.concat(F.lit("--- STRONG EXAMPLE ---\n"), "strand_example"))] if strand_examples is not None else []
+    best = [F.when((kind == "fill-in") & F.col("strand_example").isNotNull(), F.concat(F.lit("## Well scored\n"), "strand_example"))] if strand_examples is not None else []
     user = F.concat_ws(
         "\n\n", F.concat(F.lit("Write one "), kind, F.lit(" question.\nStandard: "), "standard"),
         F.when(F.col("standard_description") != "", F.concat(F.lit("Description: "), "standard_description")),

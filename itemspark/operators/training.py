@@ -117,48 +117,68 @@ def build_vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
     return skew.dense_number(counts, ["-n", "token"], "token_id", start=_FIRST_ID)
 
 
-def _ids(texts: DataFrame, keys: Sequence[str], text: str, vocabulary: DataFrame, max_len: int) -> DataFrame:
-    """Token ids in order, at most ``max_len``, one array per key.
-
-    The thousand most frequent words (a fixed number of rows) are looked up by
-    broadcast; only the others meet the vocabulary in a shuffle, where frequent
-    words are replaced by keys that spread evenly and match nothing.
+def _ids(texts: DataFrame, keys: Sequence[str], text: str, vocabulary: DataFrame, max_len: int | None) -> DataFrame:
+    """Token ids in order, at most ``max_len`` if it is given, one array per (unique) key.
+
+    Only the different words of a text leave its row: the thousand most frequent
+    words (a fixed number of rows) are looked up by broadcast, the others meet
+    the vocabulary in a shuffle. What they find comes back as one array in the
+    order of the words, is laid over the row's own words in that order, and put
+    back in place, so positions are never shuffled.
     """
-    cut = F.slice(words(F.coalesce(text, F.lit(""))), 1, max_len)
-    tokens = texts.select(*keys, F.posexplode_outer(cut).alias("pos", "token"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = words(F.coalesce(text, F.lit("")))
+    rows = texts.select(*keys, (cut if max_len is None else F.slice(cut, 1, max_len)).alias("_w")).repartition(parts, *keys)
+    rows = rows.withColumn("_s", F.sort_array(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))).drop("_w")
+    words_of = F.transform("_s", lambda e: e["w"])
+    tokens = rows.select(*keys, F.explode(F.array_distinct(words_of)).alias("token"))
     hot = vocabulary.filter(F.col("token_id") < _FIRST_ID + _HOT).select("token", F.col("token_id").alias("_hot"))
-    tokens = tokens.join(F.broadcast(hot), "token", "left")
-    spread = F.concat(F.lit("\x00"), F.xxhash64(*keys, "pos").cast("string"))
-    tokens = tokens.withColumn("_key", F.when(F.col("_hot").isNotNull() | F.col("token").isNull(), spread).otherwise(F.col("token")))
-    rare = vocabulary.filter(F.col("token_id") >= _FIRST_ID + _HOT).select(F.col("token").alias("_key"), F.col("token_id").alias("_rare"))
-    tokens = tokens.join(rare, "_key", "left")
-    ident = F.when(F.col("token").isNotNull(), F.coalesce("_hot", "_rare", F.lit(UNKNOWN).cast("long")))
-    entries = F.array_sort(F.collect_list(F.when(ident.isNotNull(), F.struct(F.col("pos"), ident.alias("i")))))
-    return tokens.groupBy(*keys).agg(F.transform(entries, lambda e: e["i"]).alias("ids"))
-
-
-def _padded(ids: Column, max_len: int) -> tuple[Column, Column]:
-    gap = F.lit(max_len) - F.size(ids)
+    marked = tokens.join(F.broadcast(hot), "token", "left")
+    rare = vocabulary.filter(F.col("token_id") >= _FIRST_ID + _HOT)
+    found = marked.filter("_hot IS NULL").drop("_hot").join(rare, "token", "left").select(*keys, "token", F.coalesce("token_id", F.lit(UNKNOWN).cast("long")).alias("_id"))
+    known = marked.filter("_hot IS NOT NULL").select(*keys, "token", F.col("_hot").alias("_id")).unionByName(found)
+    own = known.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("token", "_id"))), lambda e: e["_id"]).alias("_found"))
+    named = own.select(*[F.col(k).alias(f"_{k}") for k in keys], "_found")
+    both = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+
+    # where each different word begins among the sorted words, and how often it stands there
+    size = F.size("_s")
+    begins = F.filter(F.transform("_s", lambda e, i: F.when(~e["w"].eqNullSafe(F.get("_s", i - 1)["w"]), i)), lambda i: i.isNotNull())
+    runs = F.transform("_b", lambda b, k: F.array_repeat(F.get("_found", k), F.coalesce(F.get("_b", k + 1), size) - b))
+    placed = F.sort_array(F.zip_with("_s", "_r", lambda e, i: F.struct(e["i"].alias("i"), i.alias("id"))))
+    laid = both.withColumn("_b", begins).withColumn("_r", F.flatten(runs))
+    return laid.select(*keys, F.coalesce(F.transform(placed, lambda e: e["id"]), F.array().cast("array<bigint>")).alias("ids"))
+
+
+def _padded(ids: Column, max_len: int | None, pad_to: int) -> tuple[Column, Column]:
+    """Ids and mask, padded to ``max_len``, or without it to the next multiple of ``pad_to``, the end of the row's bucket."""
+    gap = F.pmod(-F.size(ids), F.lit(pad_to)) if max_len is None else F.lit(max_len) - F.size(ids)
     return (
         F.concat(ids, F.array_repeat(F.lit(PAD).cast("long"), gap)),
         F.concat(F.transform(ids, lambda _: F.lit(1)), F.array_repeat(F.lit(0), gap)),
     )
 
 
-def encode_sft(texts: DataFrame, keys: Sequence[str], vocabulary: DataFrame, max_len: int = 2048, text: str = "text") -> DataFrame:
-    """input_ids, attention_mask and labels of fixed length; labels ignore exactly the masked places."""
-    ids, mask = _padded(F.col("ids"), max_len)
-    out = _ids(texts, keys, text, vocabulary, max_len).select(*keys, ids.alias("input_ids"), mask.alias("attention_mask"))
+def _labelled(coded: DataFrame) -> DataFrame:
     labels = F.zip_with("input_ids", "attention_mask", lambda i, m: F.when(m == 0, F.lit(V.IGNORED_LABEL).cast("long")).otherwise(i))
-    return out.withColumn("labels", labels)
+    return coded.withColumn("labels", labels)
+
+
+def encode_sft(texts: DataFrame, keys: Sequence[str], vocabulary: DataFrame, max_len: int | None = None, text: str = "text", pad_to: int = 64) -> DataFrame:
+    """input_ids, attention_mask and labels; labels ignore exactly the masked places.
+
+    Texts are whole and padded to their bucket unless ``max_len`` gives all rows one length.
+    """
+    ids, mask = _padded(F.col("ids"), max_len, pad_to)
+    return _labelled(_ids(texts, keys, text, vocabulary, max_len).select(*keys, ids.alias("input_ids"), mask.alias("attention_mask")))
 
 
-def encode_dpo(pairs: DataFrame, key: str, vocabulary: DataFrame, max_len: int = 1024) -> DataFrame:
+def encode_dpo(pairs: DataFrame, key: str, vocabulary: DataFrame, max_len: int | None = None, pad_to: int = 64) -> DataFrame:
     """Ids and mask for prompt, chosen and rejected."""
     sides = ["prompt", "chosen", "rejected"]
     entries = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in sides]))
     long = pairs.select(key, entries.alias("e")).select(key, "e.*")
-    ids, mask = _padded(F.col("ids"), max_len)
+    ids, mask = _padded(F.col("ids"), max_len, pad_to)
     coded = _ids(long, [key, "side"], "text", vocabulary, max_len).select(key, "side", ids.alias("i"), mask.alias("m"))
     pick = lambda s, c: F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True)
     return coded.groupBy(key).agg(
@@ -175,11 +195,9 @@ def encode_with(texts: DataFrame, key: str, tokenize: Callable[[str], list[int]]
             yield part[[key]].assign(ids=ids)
 
     kind = texts.schema[key].dataType.simpleString()
-    ids, mask = _padded(F.col("ids"), max_len)
+    ids, mask = _padded(F.col("ids"), max_len, 1)
     coded = texts.select(key, text).mapInPandas(batches, f"{key} {kind}, ids array<bigint>")
-    out = coded.select(key, ids.alias("input_ids"), mask.alias("attention_mask"))
-    labels = F.zip_with("input_ids", "attention_mask", lambda i, m: F.when(m == 0, F.lit(V.IGNORED_LABEL).cast("long")).otherwise(i))
-    return out.withColumn("labels", labels)
+    return _labelled(coded.select(key, ids.alias("input_ids"), mask.alias("attention_mask")))
 
 
 # ---- size and split ---------------------------------------------------------

@@ -215,7 +215,7 @@ def explanation_names_answer(explanation: Column, letter: Column, correct: Colum
 
 def _names_answer(text: Column, a: Column, correct: Column) -> Column:
     keys = F.transform(F.filter(words(correct), lambda w: F.length(w) > 2), lambda w: F.lower(strip_chars(w, ".,;:!?\"'")))
-    by_word = F.exists(F.slice(keys, 1, 5), lambda w: F.contains(text, w))
+    by_word = F.exists(keys, lambda w: F.contains(text, w))
     by_letter = F.lit(False)
     for head, tail in [("option ", ""), ("choice ", ""), ("answer ", ""), ("", " is"), ("(", ")"), ("", ")."), ("answer is ", "")]:
         by_letter = by_letter | F.contains(text, F.concat(F.lit(head), a, F.lit(tail)))

@@ -92,8 +92,15 @@ def dense_number(df: DataFrame, order: Sequence[str], out: str, start: int = 0)
     Range partitions are sorted in parallel and written once to the shared
     checkpoint folder, so the position of a row inside its partition cannot move
     when an executor is lost; the start of each partition comes from one count
-    per partition.
+    per partition. Only the order columns and the number are written; the other
+    columns are joined to them.
     """
+    own = [_order(c)[0] for c in order]
+    if set(own) != set(df.columns):
+        keys = {c: f"_key{i}" for i, c in enumerate(own)}
+        numbers = dense_number(df.select(*own), order, out, start).select(*[F.col(c).alias(k) for c, k in keys.items()], out)
+        same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+        return df.join(numbers, same).drop(*keys.values())
     parts = durable(df.repartitionByRange(*ordering(order)).sortWithinPartitions(*ordering(order)))
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     tagged = parts.select("*", F.spark_partition_id().alias("_pid"), inside.alias("_in"))
@@ -131,6 +138,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan that has fewer splits than the session has cores; any larger scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, out: str | None = None) -> DataFrame:
     """First ``k`` rows per key; map tasks keep k rows per key before the shuffle."""
     name = out or "_rn"

@@ -138,8 +138,10 @@ def result_dims(rows: DataFrame, rubric_key: str = "rubric", result: str = "resu
 
 # ---- rule stores ------------------------------------------------------------
 _RULE_DOC = (
-    "global_rules array<string>, by_standard map<string,array<string>>, by_standard_difficulty map<string,array<string>>"
+    "global_rules array<string>, by_standard map<string,array<string>>, by_standard_difficulty map<string,array<string>>, "
+    "negative_examples map<string,struct<bad_question:string,bad_answer:string,streak:bigint,instruction:string>>"
 )
+_NEGATIVE = ["bad_question", "bad_answer", "streak", "instruction"]
 
 
 def read_rules(docs: DataFrame, text: str = "value") -> DataFrame:
@@ -162,10 +164,19 @@ def read_rules(docs: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def rule_docs(rules: DataFrame) -> DataFrame:
-    """Rules -> one JSON document per standard (and one for the global rules).
+def read_negatives(docs: DataFrame, text: str = "value") -> DataFrame:
+    """Counter-examples of rule documents: one row per key, a key of fewer than three parts has nulls."""
+    rest = [c for c in docs.columns if c != text]
+    found = docs.select(*rest, F.explode(F.from_json(text, _RULE_DOC)["negative_examples"]).alias("key", "n"))
+    part = F.split("key", r"\|")
+    return found.select(*rest, *[F.get(part, F.lit(i)).alias(c) for i, c in enumerate(("standard", "difficulty", "type"))], "n.*")
+
 
-    Rules per key are capped before they are stored, so a document is small.
+def rule_docs(rules: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
+    """Rules and counter-examples -> one JSON document per standard (and one for the global rules).
+
+    ``negatives`` has the key columns, bad_question, bad_answer, streak and
+    (optionally) instruction; a key's counter-example is stored beside its rules.
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "rule"))), lambda x: x["rule"])
     keyed = rules.withColumn(
@@ -181,11 +192,19 @@ def rule_docs(rules: DataFrame) -> DataFrame:
         F.first(F.when(F.col("scope") == "global", F.col("r")), ignorenulls=True).alias("global_rules"),
         entries("standard").alias("by_standard"), entries("standard_difficulty").alias("by_standard_difficulty"),
     )
-    return doc.select("standard", F.to_json(F.struct("global_rules", "by_standard", "by_standard_difficulty")).alias("value"))
-
-
-def write_rules(rules: DataFrame, path: str) -> None:
-    rule_docs(rules).select("value").write.mode("overwrite").text(path)
+    parts = ["global_rules", "by_standard", "by_standard_difficulty"]
+    if negatives is not None:
+        shown = [F.col(c) if c in negatives.columns else F.lit(None).cast("string").alias(c) for c in _NEGATIVE]
+        entry = F.struct(F.concat_ws("|", "standard", "difficulty", "type").alias("key"), F.struct(*shown).alias("n"))
+        own = negatives.groupBy(F.col("standard").alias("_standard")).agg(F.map_from_entries(F.collect_list(entry)).alias("negative_examples"))
+        doc = doc.join(own, doc["standard"].eqNullSafe(own["_standard"]), "full")
+        doc = doc.withColumn("standard", F.coalesce("standard", "_standard")).drop("_standard")
+        parts.append("negative_examples")
+    return doc.select("standard", F.to_json(F.struct(*parts)).alias("value"))
+
+
+def write_rules(rules: DataFrame, path: str, negatives: DataFrame | None = None) -> None:
+    rule_docs(rules, negatives).select("value").write.mode("overwrite").text(path)
 
 
 # ---- question store ---------------------------------------------------------

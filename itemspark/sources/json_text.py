@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from itemspark import skew
 from itemspark.functions.text import seeded_order
+from itemspark.sources.json_arrays import read_json_docs
+
+__all__ = [
+    "broken_docs", "cap_per_file", "classify_format", "json_docs", "json_lines", "read_json_docs", "read_jsonl", "sample_per_file",
+]
 
 _BAD = "_corrupt_record"
 
@@ -30,11 +35,6 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, keep_bad
     return df if keep_bad else df.filter(~F.col("_parse_error")).drop("_line", "_parse_error")
 
 
-def read_json_docs(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Files that hold one object or one array of objects; array entries become rows."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_file", F.col("_metadata.file_path"))
-
-
 def json_lines(df: DataFrame, text: str, schema: str) -> DataFrame:
     """The same for a column of JSON lines: adds the fields and ``_parse_error``.
 
@@ -48,12 +48,20 @@ def json_lines(df: DataFrame, text: str, schema: str) -> DataFrame:
 
 
 def json_docs(df: DataFrame, text: str, schema: str) -> DataFrame:
-    """A column whose documents hold one object or an array of objects -> one row per object."""
+    """A column whose documents hold one object or an array of objects -> one row per object.
+
+    Documents that give no row are found by ``broken_docs``.
+    """
     rest = [c for c in df.columns if c != text]
     entries = F.from_json(text, f"array<struct<{schema}>>")
     return df.select(*rest, F.posexplode(entries).alias("doc_pos", "_e")).select(*rest, "doc_pos", "_e.*")
 
 
+def broken_docs(df: DataFrame, text: str, schema: str) -> DataFrame:
+    """The documents that are no JSON object or array of objects, with all columns; blank ones count."""
+    return df.filter(F.from_json(text, f"array<struct<{schema}>>").isNull())
+
+
 def classify_format(df: DataFrame, out: str = "format") -> DataFrame:
     """``messages``, ``dpo`` or ``unknown`` per row, in that order."""
 

@@ -2,7 +2,9 @@
 
 Writers roll files: a file stream reads new files, not lines appended to a file
 it has seen. Every sink below writes one folder per micro-batch, so a batch that
-is run again after a failure replaces its own output.
+is run again after a failure replaces its own output. Counts with late rows are
+in ``windows``, alerts from keyed state in ``keyed``, tables kept up to date by
+key in ``tables``.
 """
 
 from __future__ import annotations
@@ -16,16 +18,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from itemspark.functions import classes
 from itemspark.operators.validate import quality_issues, validate_schema
-
-FAILURE_SCHEMA = (
-    "ts timestamp, model string, standard string, difficulty string, type string, reason string, raw_len bigint, raw_preview string"
-)
-
+from itemspark.streaming import tables, windows
 
 def read_failures(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """New failure log files as a stream; lines that are no JSON are skipped."""
-    rows = spark.readStream.schema(FAILURE_SCHEMA).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", max_files).json(path)
-    return rows.filter("ts is not null")
+    """New failure log files as a stream, good lines only; ``windows.read_lines`` also has the others."""
+    return windows.read_lines(spark, path, max_files).filter("bad_line IS NULL").drop("bad_line")
 
 
 def read_table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -89,37 +86,45 @@ def rate_limit_windows(stream: DataFrame, keys: Sequence[str], at_least: int = 3
 def threshold_alerts(path: str, keys: Sequence[str] = ("model",), at_least: int = 5) -> Callable[[DataFrame, int], None]:
     """Sink: report a key once ``at_least`` new rows have come in since its last report.
 
-    The pending count per key lives in ``path``/state/batch_id=N. A batch reads
-    the state of the batch before it, so it can be run again.
+    The sink form of ``keyed.threshold_alerts``, for sessions without its state
+    store: pending counts are a table (``tables``) to which a batch adds the
+    changes of its own keys. Alerts go to ``path``/alerts.
     """
+    keys, values = list(keys), {"pending": tables.SUM}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, state = batch.sparkSession, f"{path}/state"
+        before = tables.last_commit(spark, state)
+        if before and before["batch_id"] >= batch_id:
+            return
         new = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_new"))
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/state/batch_id={batch_id - 1}")
+        if before:
+            old = tables.latest(spark, state, keys, values).select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("pending").alias("held"))
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+            new = new.join(old, same, "left").select(*keys, "n_new", F.coalesce("held", F.lit(0)).alias("held"))
         else:
-            old = new.select(*keys, F.lit(0).cast("long").alias("pending")).limit(0)
-        both = old.join(new, list(keys), "full").select(
-            *keys, (F.coalesce("pending", F.lit(0)) + F.coalesce("n_new", F.lit(0))).alias("pending"), F.coalesce("n_new", F.lit(0)).alias("n_new")
-        )
-        due = (F.col("pending") >= at_least) & (F.col("n_new") > 0)
-        out = both.withColumn("due", due).persist()
-        out.filter("due").select(*keys, F.col("pending").alias("n_since_report")).write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
-        out.select(*keys, F.when(F.col("due"), 0).otherwise(F.col("pending")).cast("long").alias("pending")).write.mode("overwrite").parquet(
-            f"{path}/state/batch_id={batch_id}"
-        )
-        out.unpersist()
+            new = new.withColumn("held", F.lit(0).cast("long"))
+        due = F.col("held") + F.col("n_new") >= at_least
+        alerts = new.filter(due).select(*keys, (F.col("held") + F.col("n_new")).alias("n_since_report"))
+        alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
+        changes = new.select(*keys, F.when(due, -F.col("held")).otherwise(F.col("n_new")).alias("pending"))
+        tables.merge_batch(spark, state, changes, batch_id, keys, values, {})
 
     return handle
 
 
 # ---- progress ---------------------------------------------------------------
-def round_counts(stream: DataFrame, passing: float = 0.85) -> DataFrame:
-    """Running pass counts per (model, grade, round)."""
-    return stream.groupBy("model", "grade", "round").agg(
-        F.count("score").alias("n_valid"), F.count_if(F.col("score") >= passing).alias("pass_count")
-    )
+ROUND_KEYS, ROUND_VALUES = ["model", "grade", "round"], {"n_valid": tables.SUM, "pass_count": tables.SUM}
+
+
+def round_counts(rows: DataFrame, passing: float = 0.85) -> DataFrame:
+    """Pass counts per (model, grade, round)."""
+    return rows.groupBy(*ROUND_KEYS).agg(F.count("score").alias("n_valid"), F.count_if(F.col("score") >= passing).alias("pass_count"))
+
+
+def round_table(path: str, passing: float = 0.85, every: int = 10) -> Callable[[DataFrame, int], None]:
+    """Sink: pass counts of new rows are added to the table at ``path``; no state is kept by the stream."""
+    return tables.upsert(path, ROUND_KEYS, ROUND_VALUES, lambda batch: round_counts(batch, passing), every)
 
 
 def progress(counts: DataFrame) -> DataFrame:
