@@ -142,6 +142,10 @@ class TwiceFilter:
     def __init__(self, packed: np.ndarray, bits: int):
         self.packed, self.bits = packed, bits
 
+    def parts(self) -> tuple:
+        """What a broadcast carries: an object of this class would need the package on the workers."""
+        return self.packed, self.bits
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         found = np.ones(len(hashes), bool)
         for p in places(hashes, self.bits):
@@ -212,6 +216,9 @@ class RepeatedFilter(TwiceFilter):
         super().__init__(packed, bits)
         self.kept = kept
 
+    def parts(self) -> tuple:
+        return self.packed, self.bits, self.kept
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         return super().holds(mix(hashes >> _U(64 - self.kept)))
 

@@ -35,8 +35,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from itemspark.llm.arrays import lower_ascii, stretches
-from itemspark.llm.common import written
-from itemspark.session import ship
+from itemspark.llm.common import spread_join, written
+from itemspark.session import durable, ship
 
 ship(__name__)
 
@@ -182,15 +182,17 @@ def divergence(docs: DataFrame, min_docs: int = 10, top_terms: int = 10) -> Data
     langs = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_count").alias("lang_n"))
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).join(langs, "lang", "left").na.fill(0, ["v", "lang_n"])
     langs = langs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK_TERMS))).withColumn("tiles", F.ceil(F.col("sources") / TILE_SOURCES))
+    groups = durable(groups.join(langs, "lang"))  # one row per group; the terms meet it and the languages without a hot task
+    langs = durable(groups.groupBy(F.col("lang").alias("_lang")).agg(*[F.first(c).alias(c) for c in ("v", "blocks")]))
 
     # numbers of the terms in their blocks, and the size of each block
-    dealt = vocabulary.select("lang", "term").join(langs.select("lang", "blocks"), "lang")
+    dealt = spread_join(vocabulary.select("lang", "term"), langs, {"lang": "_lang"}, "v")
     dealt = dealt.select("lang", "term", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"))
     ids = dealt.withColumn("id", F.row_number().over(W.partitionBy("lang", "block").orderBy("term")))
     sizes = dealt.groupBy("lang", "block").agg(F.count(F.lit(1)).alias("terms"))
 
     arrays = kept.join(ids, ["lang", "term"]).groupBy("lang", "source", "block").agg(F.sort_array(F.collect_list(F.struct("id", "count"))).alias("held"))
-    every = groups.join(langs.select("lang", "v", "blocks", "tiles"), "lang").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("blocks")
+    every = groups.select("lang", "source", "n", "v", "tiles", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
     every = every.join(sizes, ["lang", "block"], "left").join(arrays, ["lang", "source", "block"], "left")
     tiled = every.select(
         "lang", "source", "n", "v", "block", F.coalesce("terms", F.lit(0)).alias("terms"), "tiles",
@@ -204,7 +206,8 @@ def divergence(docs: DataFrame, min_docs: int = 10, top_terms: int = 10) -> Data
     both = sums.select("lang", "value", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("x"))
     pairs = _ranked(both.select("lang", "x.source", "x.item", "value"), "pair")
 
-    told = kept.join(groups, ["lang", "source"]).join(langs.select("lang", "v", "lang_n"), "lang")
+    sums = groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "n", "v", "lang_n")
+    told = spread_join(kept, sums, {"lang": "_lang", "source": "_source"}, "n")
     told = told.select("lang", "source", F.col("term").alias("item"), _share("count", "n", "v").alias("p"), _share("lang_count", "lang_n", "v").alias("q"))
     over = told.filter("p > q").select("lang", "source", "item", F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
     terms = _ranked(over, "term").filter(F.col("rank") <= top_terms)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemspark.llm.arrays import is_space, lower_ascii, span_hashes, stretches, twice_seen
-from itemspark.llm.common import with_text
+from itemspark.llm.arrays import TwiceFilter, is_space, lower_ascii, span_hashes, stretches, twice_seen
+from itemspark.llm.common import free_names, spread_join, with_text
 from itemspark.session import durable, ship
 
 ship(__name__)
@@ -59,11 +59,12 @@ def _hashes(min_chars: int):
 
 def _suspects(min_chars: int, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filtered = TwiceFilter(*seen.value)
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("t")
             for at, _, data, offsets in stretches(batch.column("text")):
                 row, line, first, last, low = _keys(data, offsets, min_chars)
-                some = seen.value.holds(span_hashes(low, first, last))
+                some = filtered.holds(span_hashes(low, first, last))
                 raw = low.tobytes()
                 key = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first[some], last[some], strict=True))
                 pair = np.frombuffer(key, "<i8").reshape(-1, 2)
@@ -82,14 +83,12 @@ def lines_to_drop(docs: DataFrame, min_chars: int, min_docs: int, bits: int = 1
     """``doc_id``, ``t`` (hash of the text) and the numbers of its lines that go (from 0)."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text", _text_hash(F.col("text")).alias("t"))
-    seen = spark.sparkContext.broadcast(twice_seen(texts, ["text"], _hashes(min_chars), bits))
+    seen = spark.sparkContext.broadcast(twice_seen(texts, ["text"], _hashes(min_chars), bits).parts())
     id_type = docs.schema["doc_id"].dataType.simpleString()
     suspects = durable(texts.mapInArrow(_suspects(min_chars, seen), f"doc_id {id_type}, t long, line int, k1 long, k2 long"))
     per_doc = suspects.filter("doc_id IS NOT NULL").select("k1", "k2", "doc_id").distinct()
-    frequent = per_doc.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    frequent = frequent.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "keeper")
-    # joined by half of the key, so that both sides are shuffled and Spark may split a line that most documents hold
-    gone = suspects.join(frequent, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    frequent = per_doc.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+    gone = spread_join(suspects, durable(frequent.filter(F.col("n") >= min_docs)), {"k1": "_k1", "k2": "_k2"}, "n")
     gone = gone.filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
     return gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("lines"))
 
@@ -101,27 +100,28 @@ def without(text: Column, gone: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(left), lambda i: F.get(lines, i)), "\n")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """The documents with ``_gone``, the numbers of lines that are dropped, null where none is."""
-    gone = lines_to_drop(docs, min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("lines").alias("_gone"))
+def _marked(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, str]:
+    """The documents with the numbers of lines that are dropped (null where none is), and that column's name."""
+    own_id, own_hash, lines = free_names(docs, "id", "t", "gone")
+    gone = lines_to_drop(docs, min_chars, min_docs).select(F.col("doc_id").alias(own_id), F.col("t").alias(own_hash), F.col("lines").alias(lines))
     # the hash tells apart the texts of null ids and of repeated ones
-    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (_text_hash(docs["text"]) == gone["_t"])
-    return docs.join(gone, same, "left").drop("_id", "_t")
+    same = docs["doc_id"].eqNullSafe(gone[own_id]) & (_text_hash(docs["text"]) == gone[own_hash])
+    return docs.join(gone, same, "left").drop(own_id, own_hash), lines
 
 
 def dedup_documents(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The documents without those lines; same columns."""
-    marked = dedup_lines(docs, min_chars, min_docs)
-    return with_text(marked, F.when(F.col("_gone").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_gone")))).drop("_gone")
+    marked, gone = _marked(docs, min_chars, min_docs)
+    return with_text(marked, F.when(F.col(gone).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(gone)))).drop(gone)
 
 
 def line_digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    marked = dedup_lines(docs.select("doc_id", "text"), min_chars, min_docs)
+    marked, gone = _marked(docs.select("doc_id", "text"), min_chars, min_docs)
     text = F.coalesce("text", F.lit(""))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(without(text, F.col("_gone")))
+    kept = F.when(F.col(gone).isNull(), text).otherwise(without(text, F.col(gone)))
     return marked.select(
         "doc_id",
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(kept, 256).alias("kept_sha256"),
     )

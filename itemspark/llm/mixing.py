@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from itemspark.llm.common import SPACE_CLASS, with_text, words
+from itemspark.llm.common import SPACE_CLASS, free_names, with_text, words
 from itemspark.session import durable
 
 #: Weights of the sources by code point, repeating; the mix has 150 % of all words; a source gives twice its words at most.
@@ -156,10 +156,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document at the end of its source's quota is cut to the words that are
     taken, all others are whole.
     """
-    number = F.row_number().over(W.partitionBy("_k").orderBy("_k"))
-    key = lambda t: F.xxhash64("doc_id", "source", t).alias("_k")
-    took = mix(docs).select(key(F.col("t")), F.col("size").alias("_size"), F.col("by_epoch").alias("_by_epoch")).withColumn("_n", number)
-    rows = docs.select("*", key(F.xxhash64("text"))).withColumn("_n", number)
-    rounds = rows.join(took, ["_k", "_n"]).withColumn("_words", F.explode("_by_epoch")).filter("_words > 0")
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_words").cast("int")), " "))
+    key, number, size, epochs, taken = free_names(docs, "key", "number", "size", "epochs", "taken")
+    count = F.row_number().over(W.partitionBy(key).orderBy(key)).alias(number)
+    named = lambda t: F.xxhash64("doc_id", "source", t).alias(key)
+    took = mix(docs).select(named(F.col("t")), F.col("size").alias(size), F.col("by_epoch").alias(epochs)).select("*", count)
+    rows = docs.select("*", named(F.xxhash64("text"))).select("*", count)
+    rounds = rows.join(took, [key, number]).withColumn(taken, F.explode(epochs)).filter(F.col(taken) > 0)
+    text = F.when(F.col(taken) == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col(taken).cast("int")), " "))
     return with_text(rounds, text).select(*docs.columns)

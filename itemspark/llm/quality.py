@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemspark.llm.common import SPACE, let, with_text, words
+from itemspark.llm.common import SPACE, free_names, let, with_text, words
+from itemspark.skew import settle
 
 #: The characters counted as symbols, phrases of page furniture, and how such lines begin.
 SYMBOLS = "#*$%&|<>"
@@ -128,6 +129,11 @@ def quality_rules(docs: DataFrame, out: str = "quality") -> DataFrame:
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, without their failing lines; same columns."""
-    judged = quality_rules(docs, "_quality").filter("_quality.kept")
-    return with_text(judged, F.col("_quality.cleaned")).drop("_quality")
+    """The documents that pass, without their failing lines; same columns.
+
+    A generator of one row stands between judgement and filter, or the optimiser
+    would copy the judgement into both filter and projection.
+    """
+    (name,) = free_names(docs, "quality")
+    judged = settle(quality_rules(docs, name)).filter(F.col(name)["kept"])
+    return with_text(judged, F.col(name)["cleaned"]).drop(name)

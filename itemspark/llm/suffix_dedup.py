@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemspark.llm.arrays import STRETCH, _power_tables, mix, span_hashes, texts_of, twice_seen
+from itemspark.llm.arrays import STRETCH, TwiceFilter, _power_tables, mix, span_hashes, texts_of, twice_seen
 from itemspark.session import shared_folder, ship
 
 ship(__name__)
@@ -81,8 +81,9 @@ def named_stretches(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple
         sums = np.zeros(len(data) + 1, _U)
         np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=sums[1:])
         grams = mix((sums[_GRAM:] - sums[:-_GRAM]) * inverse[: len(data) - _GRAM + 1])
-    # the place stands in the low bits: of equal grams the leftmost counts, and each place has a run of its own
-    low = _U((1 << len(data).bit_length()) - 1)
+    # the place stands in the low bits, as many for every length, so that equal windows choose alike;
+    # of equal grams the leftmost counts, and each place has a run of its own
+    low = _U(0xFFFFFFFF)
     place = _sliding_min((grams & ~low) | np.arange(len(grams), dtype=_U), window - _GRAM + 1) & low
     names = grams[place.astype(np.int64)]
     full = np.zeros(len(names) + 1, bool)  # windows that stay in their text
@@ -126,12 +127,13 @@ def _stretch_rows(window: int, seen, mode: str, crowded):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filtered = TwiceFilter(*seen.value)
         for batch in batches:
             for row, data, offsets in _fine_stretches(batch.column("text")):
                 name, of, first, last = named_stretches(data, offsets, window)
-                keep = seen.value.holds(name)
+                keep = filtered.holds(name)
                 if mode != "places":
-                    keep &= crowded.value.holds(name) == (mode == "windows")
+                    keep &= crowded.value[(name & _U(CROWDED_MARKS - 1)).astype(np.int64)] == (mode == "windows")
                 name, of, first, last = name[keep], of[keep], first[keep], last[keep]
                 if mode == "windows":
                     n = last - first + 1
@@ -264,19 +266,16 @@ def _sort_bucket(window: int):
     return run
 
 
-class _Crowded:
-    """Names of very many stretches in a filter of fixed size; a name that is in it by chance takes the other, equally exact way."""
+#: Marks of crowded names; a name that meets a mark by chance takes the other, equally exact way.
+CROWDED_MARKS = 1 << 20
 
-    _BITS = 1 << 20
 
-    def __init__(self):
-        self.marks = np.zeros(self._BITS, bool)
-
-    def add(self, name: int) -> None:
-        self.marks[int(mix(np.array([name], np.int64).view(_U))[0] >> _U(44))] = True
-
-    def holds(self, names: np.ndarray) -> np.ndarray:
-        return self.marks[(mix(names) >> _U(44)).astype(np.int64)]
+def _crowded(counts: DataFrame) -> np.ndarray:
+    """Marks of the names of very many stretches; what comes to the driver is bounded by the number of marks."""
+    names = counts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > NAME_STRETCHES)
+    marks = np.zeros(CROWDED_MARKS, bool)
+    marks[[r["mark"] for r in names.select(F.col("name").bitwiseAND(F.lit(CROWDED_MARKS - 1)).alias("mark")).distinct().collect()]] = True
+    return marks
 
 
 def repeated_windows(docs: DataFrame, window: int = 200, bits: int = 1 << 28) -> DataFrame:
@@ -284,16 +283,14 @@ def repeated_windows(docs: DataFrame, window: int = 200, bits: int = 1 << 28) ->
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     share = spark.sparkContext.broadcast
-    seen = share(twice_seen(docs, ["text"], _names(window), bits))
+    seen = share(twice_seen(docs, ["text"], _names(window), bits).parts())  # plain arrays: workers need no package
     schema = f"doc_id {id_type}, t long, name long, digest long, start long, windows int"
     folder = f"{shared_folder(spark)}/stretches-{uuid.uuid4().hex}"
     docs.mapInArrow(_stretch_rows(window, seen, "places", None), schema).write.option("compression", "zstd").parquet(folder)
     places = spark.read.parquet(folder)
 
     counts = places.groupBy("name", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    marks = _Crowded()
-    for r in counts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > NAME_STRETCHES).toLocalIterator():
-        marks.add(r["name"])
+    marks = _crowded(counts)
     crowded = share(marks)
 
     def copied(rows: DataFrame) -> DataFrame:
@@ -305,7 +302,7 @@ def repeated_windows(docs: DataFrame, window: int = 200, bits: int = 1 << 28) ->
         return both.select("doc_id", "t", F.col("start").alias("lo"), (F.col("start") + F.col("windows") - 1).alias("hi"))
 
     found = copied(places)
-    if marks.marks.any():
+    if marks.any():
         found = found.unionByName(copied(docs.mapInArrow(_stretch_rows(window, seen, "windows", crowded), schema)))
     bodies = docs.mapInArrow(_stretch_rows(window, seen, "bodies", crowded), schema + ", body binary")
     # of a stretch with one copy these are its own values

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemspark.llm.common import written
+from itemspark.llm.common import spread_join, written
 from itemspark.session import ship
 
 ship(__name__)
@@ -48,7 +48,8 @@ _STEPS = (4, 12, 48)
 _SLACK = 1e-9
 #: Components up to here keep squared distances of 2**20 places inside a long.
 _PLAIN = 1 << 20
-_HOT_LABELS = 1000
+#: Labels whose sums are broadcast; the others are shuffled.
+HOT_LABELS = 1000
 
 
 def whole(values: np.ndarray, scale: int) -> np.ndarray:
@@ -245,20 +246,11 @@ def books_digest(books: list[np.ndarray]) -> str:
 
 
 def with_label_errors(coded: DataFrame) -> DataFrame:
-    """Adds the error of all rows of the same label (nulls together); ``coded`` is read twice.
-
-    Of the most frequent labels at most a thousand are broadcast, so no label's
-    rows meet in one task.
-    """
+    """Adds the error of all rows of the same label (nulls together); ``coded`` is read several times."""
     total = F.expr("try_cast(sum(cast(error AS decimal(38,0))) AS bigint)")
-    sums = coded.groupBy("label").agg(total.alias("label_error"), F.count(F.lit(1)).alias("n"))
-    hot = sums.orderBy(F.col("n").desc(), "label").limit(_HOT_LABELS).select(F.col("label").alias("_l"), F.col("label_error").alias("_hot"), F.lit(True).alias("_is"))
-    near = coded.join(F.broadcast(hot), coded["label"].eqNullSafe(hot["_l"]), "left")
-    rest = sums.select(F.col("label").alias("_r"), "label_error")
-    out = ["id", "code", "error", "label_error"]
-    known = near.filter("_is").select("id", "code", "error", F.col("_hot").alias("label_error"))
-    others = near.filter("_is IS NULL").join(rest, F.col("label").eqNullSafe(F.col("_r"))).select(*out)
-    return known.unionByName(others)
+    sums = coded.groupBy(F.col("label").alias("_label")).agg(total.alias("label_error"), F.count(F.lit(1)).alias("_rows"))
+    joined = spread_join(coded, sums, {"label": "_label"}, "_rows", HOT_LABELS)
+    return joined.select("id", "code", "error", "label_error")
 
 
 def compress(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024, pivots: int = 16) -> DataFrame:
