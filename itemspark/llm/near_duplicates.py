@@ -377,12 +377,32 @@ def _measured(regions: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return written(far.mapInPandas(_distances(width, percent), "region long, rep long, pivot long, distance double, linked boolean"), "distances")
 
 
-def _divided(regions: DataFrame, far: DataFrame, percent: int) -> DataFrame:
-    """Members of large regions, dealt to Voronoi regions of the pivots with windows of two radii; ``label`` tells a linked pivot."""
-    nearest = far.groupBy("region", "rep").agg(F.min("distance").alias("nearest"), F.min(F.when(F.col("linked"), F.col("pivot"))).alias("now"))
+def _labelled(big: DataFrame, far: DataFrame) -> DataFrame:
+    """Members of large regions; ``label`` is one for all sets that pivots link with each other, directly or through further sets."""
+    linked = far.filter("linked")
+    first = linked.groupBy("region", "rep").agg(F.min("pivot").alias("first"))
+    others = linked.join(first, ["region", "rep"]).filter("pivot <> first").select(F.col("pivot").alias("a"), F.col("first").alias("b")).distinct()
+    merged = components(others).select(F.col("node").alias("first"), F.col("label").alias("merged"))
+    named = first.join(merged, "first", "left").select("region", "rep", F.coalesce("merged", "first").alias("now"))
+    return big.join(named, ["region", "rep"], "left").select("region", "rep", "n", F.coalesce("now", "label").alias("label"))
+
+
+def _divided(big: DataFrame, far: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members of the Voronoi regions of the pivots, with windows of two radii; members of regions that do not fall apart).
+
+    A region falls apart if none of its parts has most of its sets, and all parts
+    together are not many times as large. Regions of one component are done.
+    """
+    state = big.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("label").alias("named"))
+    state = state.filter((F.col("named") < F.col("m")) | (F.col("lo") < F.col("hi"))).select("region", "m")
+    nearest = far.groupBy("region", "rep").agg(F.min("distance").alias("nearest"))
     near = far.join(nearest, ["region", "rep"]).filter(F.col("distance") <= F.col("nearest") + 2 * (100 - percent) / 100 + 1e-9)
-    sized = near.join(regions.select("region", "rep", "n", "label"), ["region", "rep"])
-    return sized.select(F.xxhash64("region", "pivot").alias("region"), "rep", "n", F.coalesce("now", "label").alias("label"))
+    parts = near.groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(F.max("c").alias("most"), F.sum("c").alias("all"))
+    judged = state.join(parts, "region").select("region", ((F.col("most") <= 0.8 * F.col("m")) & (F.col("all") <= 4 * F.col("m"))).alias("apart"))
+    judged = durable(judged)
+    sized = near.join(judged.filter("apart").select("region"), "region").join(big, ["region", "rep"])
+    cells = sized.select(F.xxhash64("region", "pivot").alias("region"), "rep", "n", "label")
+    return cells, big.join(judged.filter("NOT apart").select("region"), "region")
 
 
 def _blocks(large: DataFrame, big: DataFrame) -> DataFrame:
@@ -399,23 +419,29 @@ def _blocks(large: DataFrame, big: DataFrame) -> DataFrame:
 def _links(regions: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (``a``, ``b``) within all regions, by recursion where a region is large."""
     found = []
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+        return _blocks(sizes, rows).join(texts, "rep").groupBy("region").applyInPandas(_compare(width, percent), "a long, b long")
+
     for left in range(_ROUNDS, -1, -1):
         sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
         fits = (F.col("m") <= REGION_SETS) & (F.col("n") <= REGION_SHINGLES)
         small = sizes.filter((F.col("m") > 1) & fits).select("region")
-        large = durable(sizes.filter((F.col("m") > 1) & ~fits))
+        large = durable(sizes.filter((F.col("m") > 1) & ~fits).select("region"))
         rows = regions.join(small, "region").select("region", "rep", "label").join(texts, "rep")
         found.append(rows.groupBy("region").applyInPandas(_compare(width, percent), "a long, b long"))
         if large.isEmpty():
             break
-        big = regions.join(large.select("region"), "region").select("region", "rep", "n", "label")
+        big = durable(regions.join(large, "region").select("region", "rep", "n", "label"))
         if not left:  # still large: pairs of blocks, each compared by one task
-            cells = _blocks(large, big).join(texts, "rep")
-            found.append(cells.groupBy("region").applyInPandas(_compare(width, percent), "a long, b long"))
+            found.append(in_blocks(big))
             break
         far = _measured(big, texts, width, percent)
         found.append(far.filter("linked AND rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")))
-        regions = durable(_divided(big, far, percent).groupBy("region", "rep").agg(F.min("n").alias("n"), F.min("label").alias("label")))
+        cells, whole = _divided(durable(_labelled(big, far)), far, percent)
+        found.append(in_blocks(whole))
+        regions = durable(cells.groupBy("region", "rep").agg(F.min("n").alias("n"), F.min("label").alias("label")))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
