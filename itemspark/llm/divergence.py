@@ -163,7 +163,7 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
         for other, other_tile, other_ids, other_p, other_none, _ in rows[i + 1 :]:
             if low == high or tile != other_tile:
                 value = merge_pair(ids, p, none, other_ids, other_p, other_none, terms) if none else 0
-                found.append((lang, source, other, value))
+                found.append((lang, min(source, other), max(source, other), value))  # one order for all blocks of a pair
     return pd.DataFrame(found, columns=["lang", "a", "b", "value"]).astype({"value": "int64"})
 
 

@@ -57,7 +57,7 @@ def rows_of(words, n, lang, first):
 
 def test_hard_rows(spark):
     rows = rows_of(["alpha", "beta", "gamma"], 30, "aa", 0) + rows_of(["xyzzy", "quux", "wibble"], 20, "bb", 100)
-    odd = [(200, None, "aa"), (201, "", "bb"), (202, "12 34 !", "aa"), (203, "漢字", "aa"), (204, "quux " * 50_000, None), (None, "alpha beta", None), (100, rows[30][1], "bb"), (205, "wibble", None)]
+    odd = [(200, None, "aa"), (201, "", "bb"), (202, "12 34 !", "aa"), (203, "漢字", None), (204, "quux " * 50_000, None), (None, "alpha beta", None), (100, rows[30][1], "bb"), (205, "wibble", None)]
     frame = spark.createDataFrame([(*r, "x", 1, 2) for r in rows + odd], SCHEMA).repartition(4)
     got = language_id.identify(frame).collect()
     assert len(got) == len(rows) + len(odd)
