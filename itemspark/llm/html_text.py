@@ -19,7 +19,8 @@ null URL, or one without a host, belongs to the host ''; a host of fewer than
 eight different pages has no template text; repeated pages are extracted alike;
 an empty table gives no rows; other columns are not read. Unclosed and wrongly
 nested tags are closed as browsers do for the common cases (paragraphs, list
-items, table parts).
+items, table parts). A tag whose quote is never closed ends at its first closing
+bracket.
 """
 
 from __future__ import annotations
@@ -79,7 +80,10 @@ _CLOSES = {
     "tfoot": {"tbody", "thead", "tfoot"},
 }
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+#: A tag whose quotes are closed where a value may end; one whose quotes are not ends at the next bracket, or with the page.
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^'\">])*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
+)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -152,17 +156,18 @@ def read_page(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, s
         if m.start() > at:
             held.append(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = (tag or "").lower()
         if not tag:
             continue
-        if m[1]:
+        if closing:
             found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), None)
             if found is not None and (tag not in _INLINE or all(t in _INLINE for t, _ in stack[found + 1 :])):
                 close(found)
             elif tag in ("td", "th"):
                 held.append(" ")
             continue
-        label, furniture, named = _label(tag, m[3])
+        label, furniture, named = _label(tag, attributes)
         inline = tag in _INLINE and not furniture and not named
         if not inline:
             for i in range(len(stack) - 1, 0, -1):
