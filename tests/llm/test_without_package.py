@@ -6,6 +6,8 @@ import os
 import subprocess
 import sys
 
+from hard_rows import tables  # noqa: F401
+
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SCRIPT = """
 import sys
