@@ -308,7 +308,8 @@ def repeated_windows(docs: DataFrame, window: int = 200, bits: int = 1 << 28) ->
     # of a stretch with one copy these are its own values
     each = bodies.groupBy("name", "digest").agg(F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in ("doc_id", "t", "start", "windows", "body")])
     rows_per_bucket = 8_000
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // rows_per_bucket))
+    # by the number of places, which the written table tells without a shuffle
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places.count() // rows_per_bucket))
     dealt = each.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets))).drop("digest")
     sorted_runs = dealt.groupBy("bucket").applyInPandas(_sort_bucket(window), f"doc_id {id_type}, t long, lo long, hi long")
     return found.unionByName(sorted_runs)
