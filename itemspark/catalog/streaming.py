@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from itemspark.catalog.base import query
 from itemspark.catalog.validation import _REJECT, item_rows
-from itemspark.fixtures import Data
-from itemspark.session import shared_folder
+from itemspark.fixtures import TEXT_TABLES, Data
+from itemspark.session import bytes_of, shared_folder
 from itemspark.streaming import keyed, streams, tables, windows
 
 
@@ -16,7 +16,8 @@ class StreamData(Data):
 
     def table(self, name):
         path = f"{self.folder}/{name}.parquet"
-        return streams.read_table_stream(self.spark, path, self.spark.read.parquet(path).schema)
+        rows = streams.read_table_stream(self.spark, path, self.spark.read.parquet(path).schema)
+        return streams.dealt(rows, bytes_of(self.spark, path)) if name in TEXT_TABLES else rows
 
 
 def _run(d, stream, handle_for, mode="update"):

@@ -30,6 +30,15 @@ def read_table_stream(spark: SparkSession, path: str, schema: T.StructType) -> D
     return spark.readStream.schema(schema).parquet(path[:-1] + f"[{path[-1]}]")
 
 
+def dealt(stream: DataFrame, n_bytes: int, per_task: int = 16 << 20) -> DataFrame:
+    """Deal the rows of a stream to as many tasks as its input of ``n_bytes`` needs: at least one per core, about ``per_task`` bytes each.
+
+    Texts grow where items are made of them, and a sink that writes twice reads each kept part as a whole.
+    """
+    cores = stream.sparkSession.sparkContext.defaultParallelism
+    return stream.repartition(max(cores, -(-n_bytes // per_task)))
+
+
 def start(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", available_now: bool = True
 ) -> StreamingQuery:
