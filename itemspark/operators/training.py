@@ -108,7 +108,7 @@ def candidates_from_pairs(pairs: DataFrame, key: str, max_chars: int | None = No
 
 
 # ---- encodings --------------------------------------------------------------
-PAD, UNKNOWN, _FIRST_ID, _HOT = 0, 1, 2, 1000
+PAD, UNKNOWN, _FIRST_ID, _HOT = 0, 1, 2, 100_000
 
 
 def build_vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -120,34 +120,28 @@ def build_vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
 def _ids(texts: DataFrame, keys: Sequence[str], text: str, vocabulary: DataFrame, max_len: int | None) -> DataFrame:
     """Token ids in order, at most ``max_len`` if it is given, one array per (unique) key.
 
-    Only the different words of a text leave its row: the thousand most frequent
-    words (a fixed number of rows) are looked up by broadcast, the others meet
-    the vocabulary in a shuffle. What they find comes back as one array in the
-    order of the words, is laid over the row's own words in that order, and put
-    back in place, so positions are never shuffled.
+    Whole texts are dealt by their key, once. The most frequent words (a fixed
+    number of rows) are looked up by broadcast and gathered where their text is;
+    only the others leave it, once per text with their places, to meet the
+    vocabulary in a shuffle. The key is one column that is never null, so no
+    join by it moves the texts again.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = words(F.coalesce(text, F.lit("")))
-    rows = texts.select(*keys, (cut if max_len is None else F.slice(cut, 1, max_len)).alias("_w")).repartition(parts, *keys)
-    rows = rows.withColumn("_s", F.sort_array(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))).drop("_w")
-    words_of = F.transform("_s", lambda e: e["w"])
-    tokens = rows.select(*keys, F.explode(F.array_distinct(words_of)).alias("token"))
-    hot = vocabulary.filter(F.col("token_id") < _FIRST_ID + _HOT).select("token", F.col("token_id").alias("_hot"))
-    marked = tokens.join(F.broadcast(hot), "token", "left")
-    rare = vocabulary.filter(F.col("token_id") >= _FIRST_ID + _HOT)
-    found = marked.filter("_hot IS NULL").drop("_hot").join(rare, "token", "left").select(*keys, "token", F.coalesce("token_id", F.lit(UNKNOWN).cast("long")).alias("_id"))
-    known = marked.filter("_hot IS NOT NULL").select(*keys, "token", F.col("_hot").alias("_id")).unionByName(found)
-    own = known.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("token", "_id"))), lambda e: e["_id"]).alias("_found"))
-    named = own.select(*[F.col(k).alias(f"_{k}") for k in keys], "_found")
-    both = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
-
-    # where each different word begins among the sorted words, and how often it stands there
-    size = F.size("_s")
-    begins = F.filter(F.transform("_s", lambda e, i: F.when(~e["w"].eqNullSafe(F.get("_s", i - 1)["w"]), i)), lambda i: i.isNotNull())
-    runs = F.transform("_b", lambda b, k: F.array_repeat(F.get("_found", k), F.coalesce(F.get("_b", k + 1), size) - b))
-    placed = F.sort_array(F.zip_with("_s", "_r", lambda e, i: F.struct(e["i"].alias("i"), i.alias("id"))))
-    laid = both.withColumn("_b", begins).withColumn("_r", F.flatten(runs))
-    return laid.select(*keys, F.coalesce(F.transform(placed, lambda e: e["id"]), F.array().cast("array<bigint>")).alias("ids"))
+    rows = texts.select(F.struct(*keys).alias("_k"), F.col(text).alias("_t")).repartition(parts, "_k")
+    cut = words(F.col("_t"))
+    placed = rows.select("_k", F.posexplode_outer(cut if max_len is None else F.slice(cut, 1, max_len)).alias("_i", "token"))
+    hot = vocabulary.filter(F.col("token_id") < _FIRST_ID + _HOT).select("token", F.col("token_id").alias("_id"))
+    rare = vocabulary.filter(F.col("token_id") >= _FIRST_ID + _HOT).select("token", "token_id")
+    here = F.when(F.col("_id").isNotNull(), F.struct("_i", "_id"))
+    own = placed.join(F.broadcast(hot), "token", "left").groupBy("_k").agg(F.collect_list(here).alias("_own"))
+
+    away = placed.filter("token IS NOT NULL").join(F.broadcast(hot), "token", "left_anti").groupBy("_k", "token").agg(F.collect_list("_i").alias("_at"))
+    known = F.coalesce("token_id", F.lit(UNKNOWN).cast("long"))
+    back = away.join(rare, "token", "left").select("_k", F.transform("_at", lambda i: F.struct(i.alias("_i"), known.alias("_id"))).alias("_f"))
+    found = back.groupBy("_k").agg(F.flatten(F.collect_list("_f")).alias("_found"))
+    both = own.join(found, "_k", "left")
+    every = F.sort_array(F.concat("_own", F.coalesce("_found", F.array().cast("array<struct<_i:int,_id:bigint>>"))))
+    return both.select(*[F.col("_k")[k].alias(k) for k in keys], F.transform(every, lambda e: e["_id"]).alias("ids"))
 
 
 def _padded(ids: Column, max_len: int | None, pad_to: int) -> tuple[Column, Column]:
