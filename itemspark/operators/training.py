@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from itemspark import skew
 from itemspark.functions import chat
 from itemspark.functions import fixed_values as V
-from itemspark.functions.text import est_tokens, seeded_order, words
+from itemspark.functions.text import WHITE, est_tokens, seeded_order
 from itemspark.operators.parse import extract_json
 from itemspark.operators.validate import validate_schema
 from itemspark.session import ship
@@ -109,11 +109,17 @@ def candidates_from_pairs(pairs: DataFrame, key: str, max_chars: int | None = No
 
 # ---- encodings --------------------------------------------------------------
 PAD, UNKNOWN, _FIRST_ID, _HOT = 0, 1, 2, 100_000
+_SHIFT = 17  # bits that hold the id of a frequent word: _FIRST_ID + _HOT is below 2 ** 17
+
+
+def _cut(text: Column) -> Column:
+    """The same as ``words``; one plain space is found faster than a class of white space."""
+    return F.filter(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), lambda w: w != "")
 
 
 def build_vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
     """Word ids by falling frequency, then word; 0 pads and 1 is unknown."""
-    counts = texts.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.select(F.explode(_cut(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return skew.dense_number(counts, ["-n", "token"], "token_id", start=_FIRST_ID)
 
 
@@ -128,11 +134,11 @@ def _ids(texts: DataFrame, keys: Sequence[str], text: str, vocabulary: DataFrame
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = texts.select(F.struct(*keys).alias("_k"), F.col(text).alias("_t")).repartition(parts, "_k")
-    cut = words(F.col("_t"))
+    cut = _cut(F.col("_t"))
     placed = rows.select("_k", F.posexplode_outer(cut if max_len is None else F.slice(cut, 1, max_len)).alias("_i", "token"))
     hot = vocabulary.filter(F.col("token_id") < _FIRST_ID + _HOT).select("token", F.col("token_id").alias("_id"))
     rare = vocabulary.filter(F.col("token_id") >= _FIRST_ID + _HOT).select("token", "token_id")
-    here = F.when(F.col("_id").isNotNull(), F.struct("_i", "_id"))
+    here = F.shiftleft(F.col("_i").cast("long"), _SHIFT) + F.col("_id")  # place and id in one number, null for other words
     own = placed.join(F.broadcast(hot), "token", "left").groupBy("_k").agg(F.collect_list(here).alias("_own"))
 
     away = placed.filter("token IS NOT NULL").join(F.broadcast(hot), "token", "left_anti").groupBy("_k", "token").agg(F.collect_list("_i").alias("_at"))
@@ -140,7 +146,8 @@ def _ids(texts: DataFrame, keys: Sequence[str], text: str, vocabulary: DataFrame
     back = away.join(rare, "token", "left").select("_k", F.transform("_at", lambda i: F.struct(i.alias("_i"), known.alias("_id"))).alias("_f"))
     found = back.groupBy("_k").agg(F.flatten(F.collect_list("_f")).alias("_found"))
     both = own.join(found, "_k", "left")
-    every = F.sort_array(F.concat("_own", F.coalesce("_found", F.array().cast("array<struct<_i:int,_id:bigint>>"))))
+    stayed = F.transform("_own", lambda n: F.struct(F.shiftright(n, _SHIFT).cast("int").alias("_i"), n.bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("_id")))
+    every = F.sort_array(F.concat(stayed, F.coalesce("_found", F.array().cast("array<struct<_i:int,_id:bigint>>"))))
     return both.select(*[F.col("_k")[k].alias(k) for k in keys], F.transform(every, lambda e: e["_id"]).alias("ids"))
 
 
